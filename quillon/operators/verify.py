@@ -44,7 +44,8 @@ def pack_batches(pairs: DataFrame, group_col: str, order_col: str, size: Column,
 
 def score(value: Column) -> Column:
     """A stated score: half-even, within 0 and 100, null if it is no number."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double")).cast("int")))
+    x = F.bround(value.try_cast("double"))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), x.cast("int"))))
 
 
 def confidence(scores: dict[str, Column], stated: Column) -> Column:

@@ -27,7 +27,7 @@ def words_in_cell(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{WITH}{D.BLOCKS}{D.BOXES}, s AS (SELECT doc_id, page, 'top' AS side, top AS fixed, x0 AS lo, x1 AS hi FROM boxes UNION ALL SELECT doc_id, page, 'bottom', bottom, x0, x1 FROM boxes)
-SELECT s.doc_id, s.page, s.side, coalesce(sum(greatest(0, least(s.hi, e.x1) - greatest(s.lo, e.x0))), 0) / (s.hi - s.lo) AS cover, coalesce(sum(greatest(0, least(s.hi, e.x1) - greatest(s.lo, e.x0))), 0) / (s.hi - s.lo) > 0.6 AS bordered
+SELECT s.doc_id, s.page, s.side, coalesce(sum(CASE WHEN e.doc_id IS NULL THEN 0 ELSE greatest(0, least(s.hi, e.x1) - greatest(s.lo, e.x0)) END), 0) / (s.hi - s.lo) AS cover, coalesce(sum(CASE WHEN e.doc_id IS NULL THEN 0 ELSE greatest(0, least(s.hi, e.x1) - greatest(s.lo, e.x0)) END), 0) / (s.hi - s.lo) > 0.6 AS bordered
 FROM s LEFT JOIN blocks e ON s.doc_id = e.doc_id AND s.page = e.page AND abs(e.bottom + 2 - s.fixed) <= 2 GROUP BY s.doc_id, s.page, s.side, s.lo, s.hi""")
 def edge_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Rules under the blocks as edges, top and bottom of each table as sides."""
@@ -133,7 +133,7 @@ def nearest_grid(spark: SparkSession, sf: str) -> DataFrame:
     return L.nearest_grid(v, g)
 
 
-@query(f"""{WITH}{D.WORDS}, g AS (SELECT doc_id, page, seq AS grid, x0 FROM words), c AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page, grid ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS col FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page, grid ORDER BY x0) >= 10 THEN 1 ELSE 0 END AS brk FROM g))
+@query(f"""{WITH}{D.WORDS}, g AS (SELECT doc_id, page, seq AS grid, x0 FROM words), c AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page, grid ORDER BY x0) AS BIGINT) AS col FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page, grid ORDER BY x0) >= 10 THEN 1 ELSE 0 END AS brk FROM g))
 SELECT doc_id, page, grid, col, min(x0) AS start, count(*) AS cells FROM c GROUP BY ALL""")
 def grid_columns(spark: SparkSession, sf: str) -> DataFrame:
     return L.grid_columns(D.words(spark, sf).select("doc_id", "page", F.col("seq").alias("grid"), "x0"))

@@ -79,11 +79,14 @@ def tm_two_pass(spark: SparkSession, sf: str) -> DataFrame:
     return memory.tm_exact(D.segments(spark, sf), D.memory(spark, sf)).where("tm_target is not null").select("doc_id", "seq", "tm_target")
 
 
-GLOSS_HITS = rf"""{D.GLOSS}, h AS (SELECT doc_id, seq, replace(regexp_replace(text, '\s+', ' ', 'g'), ' & ', ' and ') AS hay FROM seg),
- hits AS (SELECT doc_id, seq, pos, en_term, length(a) AS s, length(a) + length(b) AS e FROM (
-   SELECT doc_id, seq, pos, en_term, regexp_extract(hay, '(?is)^(|.*?[^\p{{L}}\p{{N}}_])(?:' || en_term || '(?:s|es)?)(?:[^\p{{L}}\p{{N}}_]|$)', 1) AS a,
-          regexp_extract(hay, '(?is)^(?:|.*?[^\p{{L}}\p{{N}}_])(' || en_term || '(?:s|es)?)(?:[^\p{{L}}\p{{N}}_]|$)', 1) AS b
-   FROM h, gloss WHERE contains(lower(hay), en_term)) WHERE b <> '')"""
+def _one_term(i: int, term: str) -> str:
+    """First whole-word hit of one term: the match with its two neighbours is looked for, then found again by position."""
+    return rf"""SELECT doc_id, seq, {i} AS pos, '{term}' AS en_term, strpos(hay, m) - 1 AS s, strpos(hay, m) + length(m) - 3 AS e
+   FROM (SELECT doc_id, seq, hay, regexp_extract(hay, '(?i)[^\p{{L}}\p{{N}}_]{term}(?:s|es)?[^\p{{L}}\p{{N}}_]') AS m FROM h WHERE contains(lower(hay), '{term}')) WHERE m <> ''"""
+
+
+GLOSS_HITS = rf"""{D.GLOSS}, h AS (SELECT doc_id, seq, ' ' || replace(regexp_replace(text, '\s+', ' ', 'g'), ' & ', ' and ') || ' ' AS hay FROM seg),
+ hits AS ({" UNION ALL ".join(_one_term(i, t) for i, (t, _) in enumerate(D.GLOSSARY))})"""
 
 
 @query(f"{WITH}{D.SEG}, {GLOSS_HITS} SELECT doc_id, seq, en_term, s::INT AS s, e::INT AS e FROM hits")
@@ -168,7 +171,7 @@ def length_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return D.pairs(spark, sf).groupBy("source").agg(F.count_if(F.length("target") > 6 * F.length("text") + 200).alias("n_long"), F.count_if((F.length(F.trim("target")) < n * 0.3) & (n > 20)).alias("n_short"))
 
 
-@query(rf"""{WITH}{D.PAIRS}, {GLOSS_HITS.replace('hits AS', 'hits AS')}, w AS (
+@query(rf"""{WITH}{D.PAIRS}, {GLOSS_HITS}, w AS (
   SELECT h.doc_id, h.seq, h.en_term, lower(p.target) AS hay, list_transform(regexp_extract_all(lower(g.target_term), '[\p{{L}}\p{{N}}_]+'), lambda w: CASE WHEN length(w) <= 3 THEN w WHEN length(w) = 4 THEN left(w, 3) WHEN length(w) <= 6 THEN left(w, length(w) - 2) WHEN length(w) <= 8 THEN left(w, greatest(5, length(w) - 3)) ELSE left(w, 6) END) AS stems
   FROM hits h JOIN gloss g USING (pos) JOIN pairs p ON p.doc_id = h.doc_id AND p.seq = h.seq)
 SELECT doc_id, seq, en_term FROM w WHERE len(list_filter(stems, lambda s: NOT contains(hay, s))) > 0""")
