@@ -147,7 +147,7 @@ def confirmed(positives: DataFrame, batch: DataFrame, snapshot: DataFrame, docs:
     )
     texts = docs.select(F.col(id_col).alias("tid"), text_or_empty(text_col).alias("wtext"))
     same = (F.length("wtext") == F.col("wchars")) & (F.sha2(normalised("wtext").cast("binary"), 256) == F.col("sha"))
-    got = texts.join(wanted, F.col("tid").eqNullSafe(F.col("wid"))).where(same).select("sha", "new", normalised("wtext").alias("bytes")).dropDuplicates(["sha", "new"])
+    got = texts.join(wanted.hint("merge"), F.col("tid").eqNullSafe(F.col("wid"))).where(same).select("sha", "new", normalised("wtext").alias("bytes")).dropDuplicates(["sha", "new"])
     new = got.where("new").select("sha", F.col("bytes").alias("a"))
     old = got.where(~F.col("new")).select("sha", F.col("bytes").alias("b"))
     return new.join(old, "sha").where(F.col("a") == F.col("b")).select("sha")
