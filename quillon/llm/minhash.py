@@ -5,9 +5,8 @@ register keeps the shingle that arrives first. Two documents agree on a register
 Jaccard similarity. Shingles are handled in waves: all first arrivals, then the second ones of those that can still win,
 until no arrival can come before the latest register; long documents stop after about one arrival a shingle.
 
-Registers are cut into bands; documents that share a band are candidates. Within a band's bucket no pairs are listed: the
-bucket's leaders (first by a hash of the id) are compared with all others, links join components, leaders leave, and only
-buckets that still hold two components go on. So every pair of a bucket is either compared or already connected.
+Registers are cut into bands; documents that share a band are candidates. Within a band's bucket no pairs are listed: see
+`link_buckets`. Every pair of a bucket is either compared, already connected, or known to be less similar.
 """
 
 from __future__ import annotations
@@ -15,15 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
 from ._common import free_name, materialise, text_or_empty
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
-#: Leaders of a bucket in the first round and in later ones, which only few buckets reach.
-LEADERS = (1, 16)
 _U = np.uint64
 
 
@@ -167,6 +164,80 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _label(member: DataFrame, comps: DataFrame) -> DataFrame:
+    return member.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
+
+
+def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: int = 16, hubs: int = 3) -> DataFrame:
+    """Links (a, b) that connect whatever similar documents share a bucket, without listing a large bucket's pairs.
+
+    The document in most and largest buckets is a bucket's hub. Hubs are compared with the rest of their buckets a few
+    times over, each time among those no hub has reached. A bucket that then still holds several components is settled exactly: a small
+    one by its pairs; in a large one, a document d that the hub h does not reach can only be similar to e if they share
+    a shingle that h lacks, or if e has fewer shingles than h: without such a shingle all that d and e share lies in h,
+    so their similarity is at most |d and h| / (|d| + |e| - |d and h|). Both kinds are joined, by that shingle and by that bound."""
+    size = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sized = member.join(size, "bucket")
+    central = sized.groupBy("id").agg(F.sum("n").alias("w"))
+    member = materialise(sized.join(central, "id").select("bucket", "id", "w"))
+    hub = F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("m")
+    first, links, comps, rest = None, None, None, member
+    for _ in range(hubs):
+        lead = materialise(rest.groupBy("bucket").agg(hub, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", (-F.col("m.i")).alias("a")))
+        first = lead if first is None else first
+        found = materialise(_linked(rest.join(lead, "bucket").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")), sets, similarity))
+        links = found if links is None else materialise(links.unionByName(found))
+        comps = components(links)
+        head = lead.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("acomp")), "a", "left").select("bucket", "a", F.coalesce("acomp", "a").alias("acomp"))
+        # Who is with a hub is placed; the others of a bucket that is not small go on among themselves.
+        rest = materialise(_label(rest, comps).join(head, "bucket").where((F.col("comp") != F.col("acomp")) & (F.col("id") != F.col("a"))).select("bucket", "id", "w"))
+        if rest.isEmpty():
+            break
+    heads = first.select("bucket", "a")
+    rows = _label(member, comps).join(heads, "bucket").where(F.col("id") != F.col("a"))
+    state = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+    rows = materialise(rows.join(state, "bucket").select("bucket", "id", "comp", "a", "n"))
+    if rows.isEmpty():
+        return links
+    few = rows.where(F.col("n") <= small).select("bucket", "id", "comp")
+    pairs = few.join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("bcomp")), "bucket").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("bcomp"))).select(F.col("id").alias("a"), "b")
+    many = rows.where(F.col("n") > small).select("a", "id", "comp").distinct()
+    apart = materialise(_beyond(many, sets).join(comps.select(F.col("id").alias("a"), F.col("comp").alias("acomp")), "a", "left").withColumn("out", F.col("comp") != F.coalesce("acomp", "a")))
+    flat = apart.select("a", "id", "comp", "out", F.explode("more").alias("s"))
+    other = flat.select("a", "s", F.col("id").alias("b"), F.col("comp").alias("bcomp"))
+    shared = flat.where("out").join(other, ["a", "s"]).where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")))
+    t = float(similarity)
+    left = apart.where(F.col("out") & (F.col("both") >= t * F.col("size"))).select("a", "id", "comp", "size", "both")
+    short = apart.where(F.col("size") < F.col("hub")).select("a", F.col("id").alias("b"), F.col("comp").alias("bcomp"), F.col("size").alias("bsize"))
+    bound = left.join(short, "a").where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")) & (F.col("both") >= t * (F.col("size") + F.col("bsize") - F.col("both"))))
+    pairs = pairs.unionByName(shared.select(F.col("id").alias("a"), "b")).unionByName(bound.select(F.col("id").alias("a"), "b"))
+    return materialise(links.unionByName(_linked(pairs, sets, similarity)))
+
+
+def _beyond(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (a hub, id, comp): id's distinct shingles that the hub lacks, how many it shares, and both sizes."""
+
+    def run(batches):
+        for batch in batches:
+            more, both, size, hub = [], [], [], []
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                h, d = np.unique(np.frombuffer(x.as_buffer(), _U)), np.unique(np.frombuffer(y.as_buffer(), _U))
+                own = np.setdiff1d(d, h, assume_unique=True)
+                more.append(own.view(np.int64))
+                size.append(len(d))
+                hub.append(len(h))
+                both.append(len(d) - len(own))
+            cols = [pa.array(more, pa.list_(pa.int64())), pa.array(both, pa.int64()), pa.array(size, pa.int64()), pa.array(hub, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["a", "id", "comp", "more", "both", "size", "hub"])
+
+    loaded = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select("id", F.col("set").alias("sb")), "id").select("a", "id", "comp", "sa", "sb")
+    return loaded.mapInArrow(run, "a long, id long, comp long, more array<long>, both long, size long, hub long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (smallest id of its class), class_size, kept (it is that id).
 
@@ -185,28 +256,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     wanted = member.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     sets = materialise(shingle_sets(texts.join(wanted, "id", "left_semi"), width))
-    links, comps = None, None
-    round_ = 0
-    while True:
-        leaders = LEADERS[min(round_, 1)]
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
-        led = materialise(member.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders).select("bucket", F.col("id").alias("a"), "r")) if leaders > 1 else materialise(member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("x"), "id")).alias("m")).select("bucket", F.col("m.id").alias("a"), F.lit(1).alias("r")))
-        labelled = member if comps is None else member.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        first = led if comps is None else led.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("acomp")), "a", "left").withColumn("acomp", F.coalesce("acomp", "a"))
-        pairs = labelled.join(first, "bucket").where(F.col("id") != F.col("a"))
-        if comps is not None:
-            pairs = pairs.where(F.col("comp") != F.col("acomp"))
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        found = materialise(verify(pairs, sets, similarity))
-        links = found if links is None else materialise(links.union(found))
-        comps = components(links)
-        member = member.join(led.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti")
-        labelled = member.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
-        member = materialise(member.join(open_, "bucket", "left_semi"))
-        round_ += 1
-        if member.isEmpty():
-            break
+    comps = components(link_buckets(member, sets, similarity))
     # Classes of word sequences, then of documents; the smallest id of a class is that of one of its sequences.
     seq = reps.join(comps, "id", "left").select("d1", "d2", "n_words", F.coalesce("comp", "id").alias("class_id"))
     own = signed.select("id", "d1", "d2", "n_words")
