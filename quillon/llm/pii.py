@@ -41,7 +41,7 @@ def _luhn(digits: str) -> str:
 
 def _mod97(x: str) -> str:
     turned = f"concat(substring({x}, 5), substring({x}, 1, 4))"
-    return f"aggregate(split({turned}, '(?!^)'), 0L, (a, c) -> (a * if(ascii(c) > 57, 100, 10) + if(ascii(c) > 57, ascii(c) - 55, ascii(c) - 48)) % 97) = 1"
+    return f"aggregate(filter(split({turned}, ''), c -> c <> ''), 0L, (a, c) -> (a * if(ascii(c) > 57, 100, 10) + if(ascii(c) > 57, ascii(c) - 55, ascii(c) - 48)) % 97) = 1"
 
 
 _SQUEEZED = "replace(s.hit, ' ', '')"
