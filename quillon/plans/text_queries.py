@@ -278,12 +278,12 @@ def inconsistent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""{WITH}{VARIANTS}, g AS (SELECT *, doc_id * 100000 + seq AS o FROM v WHERE length(text) <= 80), b AS (
   SELECT key AS bkey, arg_max(translated_text, (match_type = 'exact', coalesce(confidence, 0), -o)) AS bt, arg_max(text, (match_type = 'exact', coalesce(confidence, 0), -o)) AS bs FROM g GROUP BY key HAVING count(DISTINCT v) > 1)
-SELECT g.doc_id, g.seq, rtrim(bt, ' :.;') || substr(text, length(rtrim(text, ' :.;')) + 1) AS new_text FROM g JOIN b ON key = bkey
-WHERE v <> trim(regexp_replace(lower(bt), '[\s.:]+', ' ', 'g')) AND NOT (text = upper(text) AND text <> lower(text) AND NOT (bs = upper(bs) AND bs <> lower(bs)))""")
+SELECT g.doc_id, g.seq, lower(rtrim(bt, ' :.;') || substr(text, length(rtrim(text, ' :.;')) + 1)) AS new_text FROM g JOIN b ON key = bkey
+WHERE v <> trim(regexp_replace(lower(bt), '[\s.:]+', ' ', 'g')) AND NOT contains(bt, 'ß') AND NOT contains(text, 'ß')""")
 def harmonise(spark: SparkSession, sf: str) -> DataFrame:
-    r = D.scored(spark, sf).withColumn("qa_issues", qa.none()).withColumn("own_seq", F.col("seq")).withColumn("seq", F.col("doc_id") * 100000 + F.col("seq")).withColumn("was_upper", T.all_upper(F.col("text")))
-    h = verify.harmonise(r).where("harmonised")
-    return h.where(~(F.col("was_upper") & T.all_upper(F.col("translated_text")))).select("doc_id", F.col("own_seq").alias("seq"), F.col("translated_text").alias("new_text"))
+    r = D.scored(spark, sf).withColumn("qa_issues", qa.none()).withColumn("own_seq", F.col("seq")).withColumn("seq", F.col("doc_id") * 100000 + F.col("seq"))
+    h = verify.harmonise(r).where(F.col("harmonised") & ~F.contains("translated_text", F.lit("ß")) & ~F.contains("text", F.lit("ß")))
+    return h.select("doc_id", F.col("own_seq").alias("seq"), F.lower("translated_text").alias("new_text"))
 
 
 @query(f"""{WITH}{D.SCORED}, d AS (SELECT text, translated_text, arg_min(confidence, (doc_id, seq)) + 5 - length(text) % 11 AS nc, length(text) % 6 = 0 AS crit FROM scored WHERE confidence < 85 AND match_type IN ('llm', 'fuzzy') AND NOT from_ocr GROUP BY text, translated_text)
