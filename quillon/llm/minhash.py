@@ -164,6 +164,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def connect(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (id, comp) after more links: those join labels, and only the labels they join are walked again."""
+    own = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    ends = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where(F.col("a") != F.col("b"))
+    top = components(ends)
+    nodes = comps.unionByName(top.select("id", F.col("id").alias("comp")).join(comps, "id", "left_anti"))
+    return materialise(nodes.join(top.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")))
+
+
 def _label(member: DataFrame, comps: DataFrame) -> DataFrame:
     return member.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
@@ -173,25 +182,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: int = 16, hubs: int = 3) -> DataFrame:
-    """Links (a, b) that connect whatever similar documents share a bucket, without listing a large bucket's pairs.
+    """id, comp of the documents that links connect, if similar ones share a bucket, without listing a large bucket's pairs.
 
     The document in most and largest buckets is a bucket's hub. Hubs are compared with the rest of their buckets a few
     times over, each time among those no hub has reached. A bucket that then still holds several components is settled exactly: a small
     one by its pairs; in a large one, a document d that the hub h does not reach can only be similar to e if they share
     a shingle that h lacks, or if e has fewer shingles than h: without such a shingle all that d and e share lies in h,
-    so their similarity is at most |d and h| / (|d| + |e| - |d and h|). Both kinds are joined, by that shingle and by that bound."""
+    so their similarity is at most |d and h| / (|d| + |e| - |d and h|). Both kinds are joined, by that shingle and by that bound.
+    Of pairs that share k such shingles only those are compared that `_may_reach` the similarity."""
     size = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     sized = member.join(size, "bucket")
     central = sized.groupBy("id").agg(F.sum("n").alias("w"))
     member = materialise(sized.join(central, "id").select("bucket", "id", "w"))
     hub = F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("m")
-    first, links, comps, rest = None, None, None, member
+    first, comps, rest = None, None, member
     for _ in range(hubs):
         lead = materialise(rest.groupBy("bucket").agg(hub, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", (-F.col("m.i")).alias("a")))
         first = lead if first is None else first
         found = materialise(_linked(rest.join(lead, "bucket").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")), sets, similarity))
-        links = found if links is None else materialise(links.unionByName(found))
-        comps = components(links)
+        if comps is None:
+            comps = components(found)
+        elif not found.isEmpty():
+            comps = connect(comps, found)
         head = lead.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("acomp")), "a", "left").select("bucket", "a", F.coalesce("acomp", "a").alias("acomp"))
         # Who is with a hub is placed; the others of a bucket that is not small go on among themselves.
         rest = materialise(_label(rest, comps).join(head, "bucket").where((F.col("comp") != F.col("acomp")) & (F.col("id") != F.col("a"))).select("bucket", "id", "w"))
@@ -202,40 +214,59 @@ def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: i
     state = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
     rows = materialise(rows.join(state, "bucket").select("bucket", "id", "comp", "a", "n"))
     if rows.isEmpty():
-        return links
+        return comps
     few = rows.where(F.col("n") <= small).select("bucket", "id", "comp")
     pairs = few.join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("bcomp")), "bucket").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("bcomp"))).select(F.col("id").alias("a"), "b")
     many = rows.where(F.col("n") > small).select("a", "id", "comp").distinct()
     apart = materialise(_beyond(many, sets).join(comps.select(F.col("id").alias("a"), F.col("comp").alias("acomp")), "a", "left").withColumn("out", F.col("comp") != F.coalesce("acomp", "a")))
-    flat = apart.select("a", "id", "comp", "out", F.explode("more").alias("s"))
-    other = flat.select("a", "s", F.col("id").alias("b"), F.col("comp").alias("bcomp"))
-    shared = flat.where("out").join(other, ["a", "s"]).where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")))
     t = float(similarity)
+    facts = F.struct("both", "size", "weight_both", "weight", "top")
+    beyond = apart.select("a", "id", "comp", "out", facts.alias("x"), F.explode("more").alias("s"))
+    other = beyond.select("a", "s", F.col("id").alias("b"), F.col("comp").alias("bcomp"), F.col("x").alias("y"))
+    common = beyond.where("out").join(other, ["a", "s"]).where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")))
+    shared = common.groupBy("a", "id", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.count(F.lit(1)).alias("k")).where(_may_reach(t))
     left = apart.where(F.col("out") & (F.col("both") >= t * F.col("size"))).select("a", "id", "comp", "size", "both")
     short = apart.where(F.col("size") < F.col("hub")).select("a", F.col("id").alias("b"), F.col("comp").alias("bcomp"), F.col("size").alias("bsize"))
     bound = left.join(short, "a").where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")) & (F.col("both") >= t * (F.col("size") + F.col("bsize") - F.col("both"))))
     pairs = pairs.unionByName(shared.select(F.col("id").alias("a"), "b")).unionByName(bound.select(F.col("id").alias("a"), "b"))
-    return materialise(links.unionByName(_linked(pairs, sets, similarity)))
+    found = materialise(_linked(pairs, sets, similarity))
+    return comps if found.isEmpty() else connect(comps, found)
+
+
+def _may_reach(t: float):
+    """Whether x and y, which share k shingles that their hub lacks, can have J_P of t: they share at most k and what the one with less has of the hub.
+
+    Without repeats J_P is the Jaccard similarity. With them it is at most the part of either's weight that lies in shared shingles."""
+    x, y, k = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}")), F.col("k")
+    most = F.least(x("both"), y("both")) + k
+    plain = (x("top") == 1) & (y("top") == 1)
+    part = lambda d: d("weight_both") + k * d("top") >= (t - 1e-9) * d("weight")
+    return F.when(plain, most >= (t - 1e-9) * (x("size") + y("size") - most)).otherwise(part(x) & part(y))
 
 
 def _beyond(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For pairs (a hub, id, comp): id's distinct shingles that the hub lacks, how many it shares, and both sizes."""
+    """For pairs (a hub, id, comp): id's distinct shingles that the hub lacks, how many it shares, both sizes, and id's weight: shared, whole, largest."""
 
     def run(batches):
         for batch in batches:
-            more, both, size, hub = [], [], [], []
+            more, both, size, hub, shared, whole, top = [], [], [], [], [], [], []
             for x, y in zip(batch.column(3), batch.column(4), strict=True):
-                h, d = np.unique(np.frombuffer(x.as_buffer(), _U)), np.unique(np.frombuffer(y.as_buffer(), _U))
-                own = np.setdiff1d(d, h, assume_unique=True)
+                h = np.unique(np.frombuffer(x.as_buffer(), _U))
+                d, count = np.unique(np.frombuffer(y.as_buffer(), _U), return_counts=True)
+                w, lacks = weight(count), ~np.isin(d, h, assume_unique=True)
+                own = d[lacks]
+                shared.append(w[~lacks].sum())
+                whole.append(w.sum())
+                top.append(w.max(initial=1.0))
                 more.append(own.view(np.int64))
                 size.append(len(d))
                 hub.append(len(h))
                 both.append(len(d) - len(own))
-            cols = [pa.array(more, pa.list_(pa.int64())), pa.array(both, pa.int64()), pa.array(size, pa.int64()), pa.array(hub, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["a", "id", "comp", "more", "both", "size", "hub"])
+            cols = [pa.array(more, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in (both, size, hub)), *(pa.array(x, pa.float64()) for x in (shared, whole, top))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["a", "id", "comp", "more", "both", "size", "hub", "weight_both", "weight", "top"])
 
     loaded = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select("id", F.col("set").alias("sb")), "id").select("a", "id", "comp", "sa", "sb")
-    return loaded.mapInArrow(run, "a long, id long, comp long, more array<long>, both long, size long, hub long")
+    return loaded.mapInArrow(run, "a long, id long, comp long, more array<long>, both long, size long, hub long, weight_both double, weight double, top double")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -256,7 +287,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     wanted = member.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     sets = materialise(shingle_sets(texts.join(wanted, "id", "left_semi"), width))
-    comps = components(link_buckets(member, sets, similarity))
+    comps = link_buckets(member, sets, similarity)
     # Classes of word sequences, then of documents; the smallest id of a class is that of one of its sequences.
     seq = reps.join(comps, "id", "left").select("d1", "d2", "n_words", F.coalesce("comp", "id").alias("class_id"))
     own = signed.select("id", "d1", "d2", "n_words")
