@@ -186,10 +186,10 @@ def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: i
 
     The document in most and largest buckets is a bucket's hub. Hubs are compared with the rest of their buckets a few
     times over, each time among those no hub has reached. A bucket that then still holds several components is settled exactly: a small
-    one by its pairs; in a large one, a document d that the hub h does not reach can only be similar to e if they share
-    a shingle that h lacks, or if e has fewer shingles than h: without such a shingle all that d and e share lies in h,
-    so their similarity is at most |d and h| / (|d| + |e| - |d and h|). Both kinds are joined, by that shingle and by that bound.
-    Of pairs that share k such shingles only those are compared that `_may_reach` the similarity."""
+    one by its pairs; in a large one, a document d that the hub h does not reach shares with e k shingles that h lacks, or
+    none. Both kinds are joined, by those shingles and by the hub, and those are compared that `_may_reach` the similarity.
+    With k = 0 all that d and e share lies in h, so both have most of their weight there; and where no shingle of d, e and h
+    repeats, e has fewer of them than h, for else d would reach h as well."""
     size = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     sized = member.join(size, "bucket")
     central = sized.groupBy("id").agg(F.sum("n").alias("w"))
@@ -225,19 +225,21 @@ def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: i
     other = beyond.select("a", "s", F.col("id").alias("b"), F.col("comp").alias("bcomp"), F.col("x").alias("y"))
     common = beyond.where("out").join(other, ["a", "s"]).where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")))
     shared = common.groupBy("a", "id", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.count(F.lit(1)).alias("k")).where(_may_reach(t))
-    left = apart.where(F.col("out") & (F.col("both") >= t * F.col("size"))).select("a", "id", "comp", "size", "both")
-    short = apart.where(F.col("size") < F.col("hub")).select("a", F.col("id").alias("b"), F.col("comp").alias("bcomp"), F.col("size").alias("bsize"))
-    bound = left.join(short, "a").where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")) & (F.col("both") >= t * (F.col("size") + F.col("bsize") - F.col("both"))))
+    inside = apart.where(F.col("weight_both") >= (t - 1e-9) * F.col("weight"))
+    left = inside.where("out").select("a", "id", "comp", facts.alias("x"))
+    short = inside.select("a", F.col("id").alias("b"), F.col("comp").alias("bcomp"), facts.alias("y"), "hub", "hub_top")
+    fewer = (F.col("x.top") > 1) | (F.col("y.top") > 1) | (F.col("hub_top") > 1) | (F.col("y.size") < F.col("hub"))
+    bound = left.join(short, "a").where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")) & fewer & _may_reach(t, F.lit(0)))
     pairs = pairs.unionByName(shared.select(F.col("id").alias("a"), "b")).unionByName(bound.select(F.col("id").alias("a"), "b"))
     found = materialise(_linked(pairs, sets, similarity))
     return comps if found.isEmpty() else connect(comps, found)
 
 
-def _may_reach(t: float):
+def _may_reach(t: float, k=None):
     """Whether x and y, which share k shingles that their hub lacks, can have J_P of t: they share at most k and what the one with less has of the hub.
 
     Without repeats J_P is the Jaccard similarity. With them it is at most the part of either's weight that lies in shared shingles."""
-    x, y, k = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}")), F.col("k")
+    x, y, k = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}")), F.col("k") if k is None else k
     most = F.least(x("both"), y("both")) + k
     plain = (x("top") == 1) & (y("top") == 1)
     part = lambda d: d("weight_both") + k * d("top") >= (t - 1e-9) * d("weight")
@@ -245,28 +247,29 @@ def _may_reach(t: float):
 
 
 def _beyond(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For pairs (a hub, id, comp): id's distinct shingles that the hub lacks, how many it shares, both sizes, and id's weight: shared, whole, largest."""
+    """For pairs (a hub, id, comp): id's distinct shingles that the hub lacks, how many it shares, both sizes, id's weight: shared, whole, largest, and the hub's largest."""
 
     def run(batches):
         for batch in batches:
-            more, both, size, hub, shared, whole, top = [], [], [], [], [], [], []
+            more, both, size, hub, shared, whole, top, hub_top = [], [], [], [], [], [], [], []
             for x, y in zip(batch.column(3), batch.column(4), strict=True):
-                h = np.unique(np.frombuffer(x.as_buffer(), _U))
+                h, times = np.unique(np.frombuffer(x.as_buffer(), _U), return_counts=True)
                 d, count = np.unique(np.frombuffer(y.as_buffer(), _U), return_counts=True)
                 w, lacks = weight(count), ~np.isin(d, h, assume_unique=True)
                 own = d[lacks]
                 shared.append(w[~lacks].sum())
                 whole.append(w.sum())
                 top.append(w.max(initial=1.0))
+                hub_top.append(weight(times).max(initial=1.0))
                 more.append(own.view(np.int64))
                 size.append(len(d))
                 hub.append(len(h))
                 both.append(len(d) - len(own))
-            cols = [pa.array(more, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in (both, size, hub)), *(pa.array(x, pa.float64()) for x in (shared, whole, top))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["a", "id", "comp", "more", "both", "size", "hub", "weight_both", "weight", "top"])
+            cols = [pa.array(more, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in (both, size, hub)), *(pa.array(x, pa.float64()) for x in (shared, whole, top, hub_top))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["a", "id", "comp", "more", "both", "size", "hub", "weight_both", "weight", "top", "hub_top"])
 
     loaded = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select("id", F.col("set").alias("sb")), "id").select("a", "id", "comp", "sa", "sb")
-    return loaded.mapInArrow(run, "a long, id long, comp long, more array<long>, both long, size long, hub long, weight_both double, weight double, top double")
+    return loaded.mapInArrow(run, "a long, id long, comp long, more array<long>, both long, size long, hub long, weight_both double, weight double, top double, hub_top double")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -113,6 +113,28 @@ def test_minhash_large_bucket_loses_no_link(spark):
     assert got == {i: top(i) for i in range(60)}
 
 
+def test_link_buckets_loses_no_link_of_repeated_shingles(spark):
+    """One bucket of over 17 texts: what connects is what links of all pairs connect. Documents 1 and 2 are the later hubs, so no hub is 30, 31 or above."""
+    own, times = iter(range(10**6, 10**7)), np.repeat
+    fresh = lambda n: [next(own) for _ in range(n)]
+    core, plain, rng = list(range(1, 86)), list(range(200, 295)), np.random.default_rng(8)
+    for hub, pair in (([*times(core, 3), *fresh(60)], [[*times(core, 3), *fresh(15)] for _ in range(2)]), ([*times(plain[:48], 20), *plain[48:]], [[*plain, *fresh(5)] for _ in range(2)]), (None, None)):
+        sets = {0: hub or [*times(core, 3)], **{i: fresh(60) for i in range(1, 20)}}
+        sets |= dict(enumerate(pair or [[*times(rng.choice(core, 75, False), rng.integers(1, 5)), *fresh(12)] for _ in range(25)], 30))
+        sets = {i: np.sort(np.array(s, np.uint64)) for i, s in sets.items()}
+        assert not pair or minhash.probability_jaccard(sets[30], sets[31]) >= 0.8 > minhash.probability_jaccard(sets[0], sets[30])
+        want = {i: i for i in sets}
+        for a in sets:
+            for b in sets:
+                if a < b and minhash.probability_jaccard(sets[a], sets[b]) >= 0.8 and want[a] != want[b]:
+                    lo, hi = sorted((want[a], want[b]))
+                    want = {i: lo if c == hi else c for i, c in want.items()}
+        member = spark.createDataFrame([(1, i) for i in sets], "bucket long, id long")
+        blobs = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "id long, set binary")
+        got = {r["id"]: r["comp"] for r in minhash.link_buckets(member, blobs, 0.8).collect()}
+        assert {i: got.get(i, i) for i in sets} == want
+
+
 def test_probability_jaccard_is_estimated_and_exact():
     a, b = np.arange(1, 200, dtype=np.uint64), np.arange(50, 250, dtype=np.uint64)
     assert minhash.probability_jaccard(a, b) == pytest.approx(150 / 249)
