@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import array
 import base64
+import json
 import re
 import zlib
 
@@ -38,7 +39,8 @@ class _Encoder(dict):
     """Token ids (little-endian 32-bit) of parts of text, remembered.
 
     Parts are cut before a blank between two non-blanks, where the tokenizer always starts a new word, so the ids of a
-    text are those of its parts in turn. The vocabulary's merges are applied by the fast encoder, on the same vocabulary as ranks."""
+    text are those of its parts in turn. The vocabulary's merges are applied by the fast encoder, on the same vocabulary as ranks.
+    Before that a text is cut at the JSON's added tokens, wherever they stand; each is one id."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -47,6 +49,12 @@ class _Encoder(dict):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path[: -len(".json")] + ".tiktoken", "rb"))}
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        added = json.load(open(path, encoding="utf-8"))["added_tokens"]
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added):
+            raise ValueError(f"added tokens of {path} that are not found literally")
+        self.added = {a["content"]: array.array("I", [a["id"]]).tobytes() for a in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
 
     def __missing__(self, part: str) -> bytes:
         if len(part) > 2 and part[-1] in ".," and part[-2].isalpha():
@@ -60,6 +68,12 @@ class _Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            # Odd places hold the added tokens, even ones what lies between.
+            return b"".join(self.added[x] if i % 2 else self.plain_ids(x) for i, x in enumerate(self.at_added.split(text)) if x)
+        return self.plain_ids(text)
+
+    def plain_ids(self, text: str) -> bytes:
         parts = _CUT.split(text) if _SPACED.search(text) else text.replace(" ", "\0 ").split("\0")
         return b"".join(map(self.__getitem__, parts))
 

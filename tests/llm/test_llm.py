@@ -323,6 +323,19 @@ def test_packing(spark, docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_finds_added_tokens_in_text(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x,<|endoftext|><|endoftext|>  y. ", " <|endoftext|>\n", "<|endoftext|", "one two<|endoftext|>three. <|ENDOFTEXT|>", "w <|endoftext|> " * 500]
+    want = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    for capacity in (64, 2048):
+        rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity).collect()
+        assert sum(r["length"] for r in rows) == sum(map(len, want))
+        assert all(zlib.crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+
+
 def test_plan_replaces_the_smallest_by_two():
     # 60 + 30 leaves 10; 30 gives way to 22 + 18, which fill the gap of 40.
     assert packing.plan({60: 1, 30: 1, 22: 1, 18: 1}, 100)[0] == ([60, 18, 22], 1)
