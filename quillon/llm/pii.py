@@ -2,7 +2,8 @@
 
 A kind is searched only in texts that can hold it (an "@", a "+", digits). Splitting a text at a pattern gives the gaps between its matches,
 and the running sum of gaps and matches gives positions in code points. Patterns take their runs possessively and
-start only at a run's beginning, so no text costs more than one pass a kind; this leaves the matches as they are."""
+start only at a run's beginning, so no text costs more than one pass a kind; this leaves the matches as they are. An IBAN's
+length is that of its country, so its pattern has a branch for each length and does not run on into the next word."""
 
 from __future__ import annotations
 
@@ -12,13 +13,24 @@ from pyspark.sql import functions as F
 from ._common import text_or_empty
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Characters of an IBAN by country (the SWIFT registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+_IBAN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+# Codes that the registry lacks have no known length: the longest run counts.
+_IBAN += rf"|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?+"
 #: Kind: pattern, score of a confirmed match. The first four are the base kinds, in the contract's order.
 PATTERNS = {
     "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", 0.8),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.7),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", 0.8),
+    "iban": (rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", 0.8),
     "local_phone": (r"(?<![0-9+(])\(?+[0-9]{3}\)?+[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", 0.3),
 }
 BASE = tuple(PATTERNS)[:4]

@@ -294,6 +294,17 @@ def test_pii(spark, none):
     assert pii.report(none).count() == 0
 
 
+def test_pii_iban_ends_where_its_country_says(spark):
+    """Whatever word follows, the IBAN is found, and only it; a wrong check digit is still none."""
+    ibans = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "SE4550000000058398257466", "BE68539007547034", "AT611904300234573201", "CZ6508000000192000145399", "PL61109010140000071219812874", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "FR1420041010050500013M02606"]
+    tails = ["", " BIC CAIXESBB", " BIC", " 5 days", " BANK", " A1", ", x", " BANK CODE 1234"]
+    rows = [(x, x + t) for x in ibans for t in tails] + [(None, x[:-1] + str((int(x[-1]) + 1) % 10) + t) for x in ibans for t in tails] + [(None, ibans[0] + "7"), (None, ibans[0] + "a"), (None, "x" + ibans[0])]
+    df = spark.createDataFrame([(i, "é " + t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in pii.report(df).collect():
+        x = rows[r["doc_id"]][0]
+        assert [s for s in r["spans"].split(",") if s.startswith("iban")] == ([f"iban:2:{2 + len(x)}"] if x else []), (rows[r["doc_id"]], r["spans"])
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
