@@ -4,7 +4,7 @@ The tables hold no Cyrillic and few codes, so translations are derived by transl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.sources import readers
@@ -129,6 +129,31 @@ WORDS = (
 )
 
 
+def laid(spark: SparkSession, sf: str) -> DataFrame:
+    """Words set one after the other, twelve a row, with list marks, wide gaps, page counters and tops that waver by a point."""
+    w = words(spark, sf).drop("x0", "x1", "top", "bottom")
+    mark = F.when(F.expr("i % 12 = 0 and seq % 7 = 1"), F.concat(F.lit("4."), (F.col("seq") % 9 + 1).cast("string"))).when(F.expr("i % 12 = 0 and seq % 7 = 2"), F.concat(F.lit("•"), F.col("text")))
+    mark = mark.when(F.expr("i % 12 = 0 and seq % 7 = 3"), "a)").when(F.expr("i % 12 = 9 and seq % 11 = 5"), "Page").otherwise(F.col("text"))
+    w = w.withColumn("text", mark).withColumn("row", F.expr("i div 12"))
+    wide = F.expr("length(text) * 5 + 4 + if(i % 12 = 0 and seq % 7 in (1, 3), 30, 0) + if(i % 12 = 5 and seq % 5 = 0, 20, 0)")
+    at = F.coalesce(F.sum(wide).over(Window.partitionBy("doc_id", "seq", "row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    w = w.withColumn("x0", (40 + at).cast("double"))
+    top = "cast((seq % 12) * 40000 + row * 12 + i % 2 as double)"
+    size = F.when(F.col("seq") % 4 == 0, 12.0).otherwise(10.0)
+    return w.select("doc_id", "page", "text", "x0", (F.col("x0") + F.length("text") * 5).alias("x1"), F.expr(top).alias("top"), (F.expr(top) + 10).alias("bottom"), "upright", size.alias("size"))
+
+
+LAID = (
+    WORDS
+    + """, marked AS (
+  SELECT doc_id, page, seq, i, i // 12 AS row, upright, CASE WHEN i % 12 = 0 AND seq % 7 = 1 THEN '4.' || (seq % 9 + 1) WHEN i % 12 = 0 AND seq % 7 = 2 THEN '•' || text WHEN i % 12 = 0 AND seq % 7 = 3 THEN 'a)' WHEN i % 12 = 9 AND seq % 11 = 5 THEN 'Page' ELSE text END AS text FROM words),
+ laid AS (
+  SELECT doc_id, page, text, x0, x0 + length(text) * 5 AS x1, top, top + 10 AS bottom, upright, CASE WHEN seq % 4 = 0 THEN 12.0 ELSE 10.0 END::DOUBLE AS size
+  FROM (SELECT *, (40 + coalesce(sum(length(text) * 5 + 4 + CASE WHEN i % 12 = 0 AND seq % 7 IN (1, 3) THEN 30 ELSE 0 END + CASE WHEN i % 12 = 5 AND seq % 5 = 0 THEN 20 ELSE 0 END) OVER (PARTITION BY doc_id, seq, row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS x0,
+    ((seq % 12) * 40000 + row * 12 + i % 2)::DOUBLE AS top FROM marked))"""
+)
+
+
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
     """One table of two by two cells on each page."""
     p = segments(spark, sf).select("doc_id", F.expr("cast(seq div 12 as int)").alias("page")).distinct()

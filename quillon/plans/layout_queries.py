@@ -238,19 +238,74 @@ def docx_unit_text(spark: SparkSession, sf: str) -> DataFrame:
     return docx.token_text(docx.token_spans(tokens(spark, sf)))
 
 
-@query()
+_NUMBERED = "^(\\d+(\\.\\d+)+\\.?|\\d+[.)]|[A-Za-z][.)]|([ivxl]{2,5}|[IVXL]{2,5})[.)])$"
+_BULLET = "^[•●▪■‣➢➔→◦⁃\\x{f000}-\\x{f8ff}]"
+_ALONG = "PARTITION BY doc_id, page, r ORDER BY x0, x1, top, text"
+LINES = f"""{D.LAID}, u AS (SELECT *, CASE WHEN top - lag(top) OVER w < 2.5 OR abs(bottom - lag(bottom) OVER w) < 1.5 THEN 0 ELSE 1 END AS fresh FROM laid WHERE upright AND text <> '' WINDOW w AS (PARTITION BY doc_id, page ORDER BY top, bottom, x0, x1, text)),
+ ur AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY top, bottom, x0, x1, text ROWS UNBOUNDED PRECEDING) AS r FROM u),
+ ug AS (SELECT *, x0 - max(x1) OVER ({_ALONG} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap, regexp_full_match(text, '(?i)p{{1,2}}age') AS counter, regexp_matches(text, '{_NUMBERED}') AS num FROM ur),
+ ub AS (SELECT *, gap IS NULL OR gap >= 14 OR counter AS brk FROM ug),
+ uc AS (SELECT *, coalesce(brk AND NOT counter AND gap < 60 AND lag(brk) OVER w AND lag(num) OVER w, false) AS near FROM ub WINDOW w AS ({_ALONG})),
+ ud AS (SELECT *, sum((NOT near)::INT) OVER ({_ALONG} ROWS UNBOUNDED PRECEDING) AS run FROM uc),
+ ue AS (SELECT *, near AND sum(near::INT) OVER (PARTITION BY doc_id, page, r, run ORDER BY x0, x1, top, text ROWS UNBOUNDED PRECEDING) % 2 = 1 AS joins FROM ud),
+ ul AS (SELECT *, sum((brk AND NOT joins)::INT) OVER ({_ALONG} ROWS UNBOUNDED PRECEDING) AS line FROM ue),
+ uw AS (SELECT doc_id, page, r, line, list(struct_pack(a := x0, b := x1, t := text) ORDER BY x0, x1, text) AS w, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom, max(size) AS size FROM ul GROUP BY ALL),
+ um AS (SELECT *, regexp_matches(w[1].t, '{_BULLET}') AS bul, regexp_matches(w[1].t, '{_NUMBERED}') AND len(w) > 1 AND w[2].a - w[1].b > 6 AS num FROM uw),
+ un AS (SELECT *, CASE WHEN num OR (bul AND length(w[1].t) = 1) THEN w[2:] ELSE w END AS rest FROM um),
+ uo AS (SELECT doc_id, page, top, bottom, x1, size, rest[1].a AS x0, CASE WHEN bul THEN left(w[1].t, 1) WHEN num THEN w[1].t END AS marker, array_to_string(list_transform(rest, lambda x: x.t), ' ') AS told, bul AND length(w[1].t) > 1 AS cut FROM un),
+ lines AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY top, x0, x1, text) - 1 AS INT) AS line_id FROM (SELECT * EXCLUDE (told, cut), CASE WHEN cut THEN substr(told, 2) ELSE told END AS text FROM uo) WHERE text <> '')"""
+
+
+@query(f"{WITH}{LINES} SELECT doc_id, page, line_id, text, marker, x0, x1, top, bottom, size FROM lines")
 def line_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    return L.assemble_lines(D.words(spark, sf)).select("doc_id", "page", "line_id", "text", "x0", "x1", "top")
+    return L.assemble_lines(D.laid(spark, sf)).select("doc_id", "page", "line_id", "text", "marker", "x0", "x1", "top", "bottom", "size")
 
 
-@query()
-def block_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    return L.assemble_blocks(L.assemble_lines(D.words(spark, sf))).select("doc_id", "page", "block_id", "text", "nlines")
+PARAS = f"""{LINES}, b1 AS (SELECT *, min(x0) OVER p + 0.75 * (max(x1) OVER p - min(x0) OVER p) AS far, CASE WHEN top - lag(top) OVER t < 2.5 THEN 0 ELSE 1 END AS fresh FROM lines WINDOW p AS (PARTITION BY doc_id, page), t AS (PARTITION BY doc_id, page ORDER BY top, x0, line_id)),
+ b2 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY top, x0, line_id ROWS UNBOUNDED PRECEDING) AS r FROM b1),
+ b3 AS (SELECT *, min(x1) OVER (PARTITION BY doc_id, page, r) < x0 - 8 AS cell FROM b2),
+ b4 AS (SELECT *, top - lag(top) OVER f AS step, top - lag(bottom) OVER f AS space, x0 - lag(x0) OVER f AS shift, lag(x0) OVER f + lag(x1) OVER f - x0 - x1 AS lean, lag(size) OVER f AS usize, lag(x1) OVER f > far AS ran FROM b3 WINDOW f AS (PARTITION BY doc_id, page, cell ORDER BY line_id)),
+ b5 AS (SELECT *, coalesce(NOT cell AND marker IS NULL AND abs(size - usize) < 0.6 AND space >= 0 AND space < usize AND step > 1 AND ran AND (abs(shift) < 3 OR abs(lean) < 6 OR (shift > 3 AND shift < 40)), false) AS goes FROM b4),
+ b6 AS (SELECT *, coalesce(goes AND lag(goes) OVER f AND abs(step - lag(step) OVER f) >= 0.35 * step, false) AS odd FROM b5 WINDOW f AS (PARTITION BY doc_id, page, cell ORDER BY line_id)),
+ b7 AS (SELECT *, sum((NOT odd)::INT) OVER (PARTITION BY doc_id, page, cell ORDER BY line_id ROWS UNBOUNDED PRECEDING) AS run FROM b6),
+ b8 AS (SELECT *, NOT goes OR (odd AND sum(odd::INT) OVER (PARTITION BY doc_id, page, cell, run ORDER BY line_id ROWS UNBOUNDED PRECEDING) % 2 = 1) AS new FROM b7),
+ b9 AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, page, cell ORDER BY line_id ROWS UNBOUNDED PRECEDING) AS b FROM b8),
+ paras AS (SELECT doc_id, page, min(line_id) AS head, string_agg(text, ' ' ORDER BY line_id) AS text, arg_min(marker, line_id) FILTER (marker IS NOT NULL OR new) AS marker, min(x0) AS x0, max(x1) AS x1, arg_min(top, line_id) AS top, arg_max(bottom, line_id) AS bottom, arg_max(size, (length(text), -line_id)) AS size, count(*)::INT AS nlines, array_to_string(list(x0::INT ORDER BY line_id), ',') AS starts FROM b9 GROUP BY doc_id, page, cell, b)"""
 
 
-@query()
+@query(f"{WITH}{PARAS} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY head) - 1 AS INT) AS block_id, text, marker, x0, x1, top, bottom, size, nlines, starts FROM paras")
+def block_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    b = L.assemble_blocks(L.assemble_lines(D.laid(spark, sf)))
+    return b.select("doc_id", "page", "block_id", "text", "marker", "x0", "x1", "top", "bottom", "size", "nlines", F.array_join(F.transform("x0s", lambda x: x.cast("int").cast("string")), ",").alias("starts"))
+
+
+#: Blocks in two columns with short heads, single ones below some rows, markers, and starts that stray.
+CELL_BLOCKS = f"""{D.BLOCKS}, g0 AS (SELECT doc_id, page, block_id, CASE WHEN (doc_id + block_id) % 31 = 7 THEN '•' END AS marker, text, 60 + (block_id % 2) * 260 + CASE WHEN (doc_id * 3 + block_id) % 29 = 5 THEN 14 WHEN block_id % 5 = 1 THEN 4 ELSE 0 END AS x0, top, bottom, 1 AS nlines FROM blocks WHERE (doc_id + block_id) % 8 <> 4),
+ g1 AS (SELECT * EXCLUDE (x0, nlines), x0::DOUBLE AS x0, (x0 + 100)::DOUBLE AS x1, nlines FROM g0 WHERE marker IS NULL)"""
+_ROWS = "PARTITION BY doc_id, page ORDER BY r"
+GRIDS = f"""{CELL_BLOCKS}, g2 AS (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY doc_id, page ORDER BY top, x0, block_id) < 2.5 THEN 0 ELSE 1 END AS fresh FROM g1),
+ g3 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY top, x0, block_id ROWS UNBOUNDED PRECEDING) AS r FROM g2),
+ g4 AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page, r ORDER BY x0, block_id) AS space FROM g3),
+ g5 AS (SELECT doc_id, page, r, count(*) AS n, min(space) AS space, length(arg_min(text, (x0, block_id))) AS chars, arg_min(x0, (x0, block_id)) AS hx, arg_min(top, (x0, block_id)) AS htop, arg_min(bottom, (x0, block_id)) AS hbottom, max(bottom) AS low FROM g4 GROUP BY ALL),
+ g6 AS (SELECT *, n >= 2 AND chars <= 45 AND space > 8 AS wide, coalesce(htop - lag(low) OVER ({_ROWS}) < 2 * greatest(hbottom - htop, 8), false) AS near FROM g5),
+ g7 AS (SELECT *, NOT wide AND coalesce(n = 1 AND hx >= last_value(CASE WHEN wide THEN hx END IGNORE NULLS) OVER ({_ROWS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3, false) AS more FROM g6),
+ g8 AS (SELECT *, NOT wide AND NOT more AS alone FROM g7),
+ g9 AS (SELECT *, CASE WHEN NOT near OR alone OR coalesce(lag(alone) OVER ({_ROWS}), true) THEN 1 ELSE 0 END AS brk FROM g8),
+ ga AS (SELECT *, sum(brk) OVER ({_ROWS} ROWS UNBOUNDED PRECEDING) AS part FROM g9),
+ gb AS (SELECT *, sum(wide::INT) OVER (PARTITION BY doc_id, page, part ORDER BY r ROWS UNBOUNDED PRECEDING) AS nth, sum(wide::INT) OVER (PARTITION BY doc_id, page, part) AS n_wide FROM ga),
+ gc AS (SELECT g4.doc_id, g4.page, block_id, x0, r, part, wide, nth - 1 AS row FROM g4 JOIN gb USING (doc_id, page, r) WHERE n_wide >= 3 AND nth > 0 AND (wide OR more)),
+ gd AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, page, part ORDER BY x0, block_id ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page, part ORDER BY x0, block_id) >= 10 THEN 1 ELSE 0 END AS far FROM gc WHERE wide)),
+ ge AS (SELECT doc_id, page, part, start, row_number() OVER (PARTITION BY doc_id, page, part ORDER BY start) - 1 AS col, count(*) OVER (PARTITION BY doc_id, page, part) AS k FROM (SELECT doc_id, page, part, c, min(x0) AS start FROM gd GROUP BY ALL)),
+ gf AS (SELECT w.doc_id, w.page, w.part, w.row, w.block_id, arg_min(e.col, (abs(e.start - w.x0), e.col)) AS col, min(abs(e.start - w.x0)) AS far, any_value(e.k) AS k FROM gc w JOIN ge e USING (doc_id, page, part) WHERE w.wide AND e.k <= 8 GROUP BY ALL),
+ gg AS (SELECT doc_id, page, part, any_value(k) AS k FROM (SELECT doc_id, page, part, col, any_value(k) AS k, count(*) AS n, count(DISTINCT row) AS m, max(far) AS far FROM gf GROUP BY ALL) GROUP BY ALL HAVING min(n) >= 2 AND bool_and(n = m) AND max(far) <= 12 AND count(*) = any_value(k)),
+ gh AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY part) - 1 AS grid FROM gg)"""
+
+
+@query(f"""{WITH}{GRIDS} SELECT doc_id, page, grid::INT AS grid, row::INT AS row, col::INT AS col, block_id, false AS continuation FROM gf JOIN gh USING (doc_id, page, part)
+UNION ALL SELECT doc_id, page, grid::INT, row::INT, (k - 1)::INT, block_id, true FROM gc JOIN gh USING (doc_id, page, part) WHERE NOT wide""")
 def grid_detect(spark: SparkSession, sf: str) -> DataFrame:
-    b = D.blocks(spark, sf).withColumn("marker", F.lit(None).cast("string")).withColumn("text", F.left("text", F.lit(20))).withColumn("x0", 60 + (F.col("block_id") % 2) * 260.0).withColumn("x1", F.col("x0") + 100)
+    stray = F.expr("60 + (block_id % 2) * 260 + case when (doc_id * 3 + block_id) % 29 = 5 then 14 when block_id % 5 = 1 then 4 else 0 end").cast("double")
+    b = D.blocks(spark, sf).where("(doc_id + block_id) % 8 <> 4").withColumn("marker", F.expr("case when (doc_id + block_id) % 31 = 7 then '•' end")).withColumn("x0", stray).withColumn("x1", F.col("x0") + 100)
     return L.detect_grids(b)
 
 
