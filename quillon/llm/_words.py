@@ -85,15 +85,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from one running polynomial over the bytes."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = BYTE_BASE) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of its 8-byte pieces, each mixed with its place, mixed with the length. Seeds give unlike hashes."""
     if not len(starts):
         return np.zeros(0, _U)
-    total = np.empty(len(data) + 1, _U)
-    total[0] = 0
-    np.cumsum((data.astype(_U) + _U(1)) * powers(BYTE_BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(inverse(BYTE_BASE), int(starts[-1]) + 1)[starts]
-    return mix(h + (ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15))
+    size = ends - starts
+    pieces = (size + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(starts, pieces) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    piece = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))[at]
+    over = np.maximum(8 - (np.repeat(ends, pieces) - at), 0).astype(_U) * _U(8)
+    piece = mix(((piece << over) >> over) ^ ((place.astype(_U) + _U(1)) * _U(seed)))
+    return mix(np.add.reduceat(piece, first) + size.astype(_U) * _U(seed) + _U(seed >> 7))
 
 
 def hash_windows(w: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:

@@ -11,10 +11,11 @@ Registers are cut into bands; documents that share a band are candidates. Within
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -45,9 +46,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE):
     fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(fresh)
     count = np.diff(np.append(at, len(h)))
-    whole = W.mix(np.add.reduceat(np.append(w, _U(0)) * W.powers(W.WORD_BASE, len(w) + 1), np.minimum(first[:-1], len(w))) * W.powers(W.inverse(W.WORD_BASE), len(w) + 1)[first[:-1]]) if len(n_words) else np.zeros(0, _U)
-    whole2 = W.mix(np.add.reduceat(np.append(w, _U(0)) * W.powers(W.WORD_BASE_2, len(w) + 1), np.minimum(first[:-1], len(w))) * W.powers(W.inverse(W.WORD_BASE_2), len(w) + 1)[first[:-1]]) if len(n_words) else np.zeros(0, _U)
-    return row[at], h[at], count, n_words, whole, whole2
+    return row[at], h[at], count, n_words, (w, first)
+
+
+def digests(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """16 bytes for each row's sequence of word hashes, as two columns of longs."""
+    out = b"".join(hashlib.blake2b(w[a:z], digest_size=16).digest() for a, z in zip(first[:-1], first[1:], strict=True))
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
 def weight(count: np.ndarray) -> np.ndarray:
@@ -106,14 +111,15 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
             data, offsets = W.buffers(batch.column(1))
             ids = batch.column(0)
             for lo, hi in W.blocks(offsets):
-                row, h, count, n_words, d1, d2 = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
+                row, h, count, n_words, seq = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
+                d = digests(*seq)
                 sig = signatures(row, h, weight(count), hi - lo, bands * rows)
                 mixed = np.zeros((hi - lo, bands), _U)
                 for i in range(rows):
                     mixed = W.mix(mixed * _U(W.WORD_BASE) + sig[:, i::rows])
                 mixed = W.mix(mixed + np.arange(1, bands + 1, dtype=_U) * _U(W.WORD_BASE_2))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(mixed.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), flat], ["id", "n_words", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), flat], ["id", "n_words", "d1", "d2", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, n_words long, d1 long, d2 long, bands array<long>")
 
@@ -134,7 +140,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those with J_P of at least `similarity`."""
+    """Of pairs (a, b) those with J_P of at least `similarity`. One a may be in very many pairs: b's set is fetched first, so what meets a's is large enough to be split."""
 
     def run(batches):
         for batch in batches:
@@ -143,9 +149,15 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    own = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    loaded = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(own, "b").select("a", "b", "sa", "sb")
-    return loaded.mapInArrow(run, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, sa, sb and the other columns of pairs. Merge joins at every size: sets grow with the corpus."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    own = sets.select(F.col("id").alias("b"), F.col("set").alias("sb")).hint("merge")
+    heads = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).hint("merge")
+    return pairs.join(own, "b").join(heads, "a").select("a", "b", "sa", "sb", *more)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,8 +189,8 @@ def _label(member: DataFrame, comps: DataFrame) -> DataFrame:
     return member.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: int = 16, hubs: int = 3) -> DataFrame:
@@ -186,10 +198,8 @@ def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: i
 
     The document in most and largest buckets is a bucket's hub. Hubs are compared with the rest of their buckets a few
     times over, each time among those no hub has reached. A bucket that then still holds several components is settled exactly: a small
-    one by its pairs; in a large one, a document d that the hub h does not reach shares with e k shingles that h lacks, or
-    none. Both kinds are joined, by those shingles and by the hub, and those are compared that `_may_reach` the similarity.
-    With k = 0 all that d and e share lies in h, so both have most of their weight there; and where no shingle of d, e and h
-    repeats, e has fewer of them than h, for else d would reach h as well."""
+    one by its pairs; in a large one, documents d and e, of which the hub h does not reach d, share shingles that h lacks, or all they share lies in h
+    (`sharing` finds both kinds of pairs from their rarest shared shingle)."""
     size = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     sized = member.join(size, "bucket")
     central = sized.groupBy("id").agg(F.sum("n").alias("w"))
@@ -198,8 +208,8 @@ def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: i
     first, comps, rest = None, None, member
     for _ in range(hubs):
         lead = materialise(rest.groupBy("bucket").agg(hub, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", (-F.col("m.i")).alias("a")))
-        first = lead if first is None else first
-        found = materialise(_linked(rest.join(lead, "bucket").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")), sets, similarity))
+        meets = rest.join(lead, "bucket").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+        found = materialise(verify(meets, sets, similarity))
         if comps is None:
             comps = components(found)
         elif not found.isEmpty():
@@ -207,8 +217,14 @@ def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: i
         head = lead.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("acomp")), "a", "left").select("bucket", "a", F.coalesce("acomp", "a").alias("acomp"))
         # Who is with a hub is placed; the others of a bucket that is not small go on among themselves.
         rest = materialise(_label(rest, comps).join(head, "bucket").where((F.col("comp") != F.col("acomp")) & (F.col("id") != F.col("a"))).select("bucket", "id", "w"))
+        if first is None:
+            # From here on only buckets that still hold someone unplaced matter, and only their documents' sets.
+            first = lead
+            open_ = rest.select("bucket").distinct()
+            member = materialise(member.join(open_, "bucket", "left_semi"))
+            sets = materialise(sets.join(member.select("id").distinct(), "id", "left_semi"))
         if rest.isEmpty():
-            break
+            return comps
     heads = first.select("bucket", "a")
     rows = _label(member, comps).join(heads, "bucket").where(F.col("id") != F.col("a"))
     state = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
@@ -217,59 +233,66 @@ def link_buckets(member: DataFrame, sets: DataFrame, similarity: float, small: i
         return comps
     few = rows.where(F.col("n") <= small).select("bucket", "id", "comp")
     pairs = few.join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("bcomp")), "bucket").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("bcomp"))).select(F.col("id").alias("a"), "b")
-    many = rows.where(F.col("n") > small).select("a", "id", "comp").distinct()
-    apart = materialise(_beyond(many, sets).join(comps.select(F.col("id").alias("a"), F.col("comp").alias("acomp")), "a", "left").withColumn("out", F.col("comp") != F.coalesce("acomp", "a")))
-    t = float(similarity)
-    facts = F.struct("both", "size", "weight_both", "weight", "top")
-    beyond = apart.select("a", "id", "comp", "out", facts.alias("x"), F.explode("more").alias("s"))
-    other = beyond.select("a", "s", F.col("id").alias("b"), F.col("comp").alias("bcomp"), F.col("x").alias("y"))
-    common = beyond.where("out").join(other, ["a", "s"]).where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")))
-    shared = common.groupBy("a", "id", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.count(F.lit(1)).alias("k")).where(_may_reach(t))
-    inside = apart.where(F.col("weight_both") >= (t - 1e-9) * F.col("weight"))
-    left = inside.where("out").select("a", "id", "comp", facts.alias("x"))
-    short = inside.select("a", F.col("id").alias("b"), F.col("comp").alias("bcomp"), facts.alias("y"), "hub", "hub_top")
-    fewer = (F.col("x.top") > 1) | (F.col("y.top") > 1) | (F.col("hub_top") > 1) | (F.col("y.size") < F.col("hub"))
-    bound = left.join(short, "a").where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("bcomp")) & fewer & _may_reach(t, F.lit(0)))
-    pairs = pairs.unionByName(shared.select(F.col("id").alias("a"), "b")).unionByName(bound.select(F.col("id").alias("a"), "b"))
-    found = materialise(_linked(pairs, sets, similarity))
+    many = rows.where(F.col("n") > small).select("a", F.col("id").alias("b"), "comp").distinct()
+    hubs_in = comps.select(F.col("id").alias("a"), F.col("comp").alias("acomp"))
+    apart = many.join(hubs_in, "a", "left").select("a", "b", "comp", (F.col("comp") != F.coalesce("acomp", "a")).alias("out"))
+    pairs = pairs.unionByName(sharing(materialise(_beyond(apart, sets, similarity)), similarity))
+    found = materialise(verify(_ordered(pairs).distinct(), sets, similarity))
     return comps if found.isEmpty() else connect(comps, found)
 
 
-def _may_reach(t: float, k=None):
-    """Whether x and y, which share k shingles that their hub lacks, can have J_P of t: they share at most k and what the one with less has of the hub.
+def sharing(tokens: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), one of them out of their hub's reach and of another component, that can have J_P of `similarity`.
+
+    A row of tokens is a document of a hub, with the shingles that the hub lacks (kind 0) or has (kind 1) and `base`, the weight that it may share besides these.
+    Shingles of a kind are put in order from the rarest to the most frequent among the hub's documents. If a shingle is the rarest that two
+    documents share, each shares at most `base` and the weight from this shingle on. Without repeats that is a number of shingles o, and J_P, then
+    the Jaccard similarity, reaches t only if o >= t / (1 + t) (size + size'): the sizes of partners that the shingle can serve are bounded.
+    With repeats J_P is at most the shared part of either document's weight. So a pair is met only at a shingle that could be its
+    rarest, and frequent shingles meet nobody but those that share little else."""
+    t, key = float(similarity), ["a", "kind", "s"]
+    rows = tokens.select("a", "kind", "id", "comp", "out", "base", "size", "weight", "plain", F.explode("more").alias("m")).select("*", "m.s", F.col("m.w").alias("mw")).drop("m")
+    often = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("f"), F.max("out").alias("any")).where((F.col("f") > 1) & F.col("any")).select(*key, "f")
+    own = Window.partitionBy("a", "kind", "id").orderBy(F.desc("f"), "s").rowsBetween(Window.unboundedPreceding, 0)
+    most = rows.join(often, key).withColumn("most", F.col("base") + F.sum("mw").over(own)).where(F.col("most") >= (t - 1e-9) * F.col("weight"))
+    met = materialise(most.select(*key, "id", "comp", "out", "size", "plain", (F.col("most") * ((1 + t) / t) - F.col("size") + 1e-6).alias("reach")))
+    other = met.select(*key, *[F.col(c).alias(f"o_{c}") for c in ("id", "comp", "size", "plain", "reach")])
+    serves = ~(F.col("plain") & F.col("o_plain")) | ((F.col("reach") >= F.col("o_size")) & (F.col("o_reach") >= F.col("size")))
+    return met.where("out").join(other, key).where((F.col("id") != F.col("o_id")) & (F.col("comp") != F.col("o_comp")) & serves).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
 
-    Without repeats J_P is the Jaccard similarity. With them it is at most the part of either's weight that lies in shared shingles."""
-    x, y, k = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}")), F.col("k") if k is None else k
-    most = F.least(x("both"), y("both")) + k
-    plain = (x("top") == 1) & (y("top") == 1)
-    part = lambda d: d("weight_both") + k * d("top") >= (t - 1e-9) * d("weight")
-    return F.when(plain, most >= (t - 1e-9) * (x("size") + y("size") - most)).otherwise(part(x) & part(y))
 
+def _beyond(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """For pairs (a hub, b, comp, out) what `sharing` takes.
 
-def _beyond(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For pairs (a hub, id, comp): id's distinct shingles that the hub lacks, how many it shares, both sizes, id's weight: shared, whole, largest, and the hub's largest."""
+    Kind 1, for pairs that share nothing beyond the hub: both have `similarity` of their weight in the hub; and where no shingle
+    repeats, the partner of one out of reach has fewer than the hub, for else that one would reach the hub as well."""
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("w", pa.float64())]))
+    names = ["a", "kind", "id", "comp", "out", "base", "size", "weight", "plain", "more"]
 
     def run(batches):
         for batch in batches:
-            more, both, size, hub, shared, whole, top, hub_top = [], [], [], [], [], [], [], []
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
-                h, times = np.unique(np.frombuffer(x.as_buffer(), _U), return_counts=True)
-                d, count = np.unique(np.frombuffer(y.as_buffer(), _U), return_counts=True)
-                w, lacks = weight(count), ~np.isin(d, h, assume_unique=True)
-                own = d[lacks]
-                shared.append(w[~lacks].sum())
-                whole.append(w.sum())
-                top.append(w.max(initial=1.0))
-                hub_top.append(weight(times).max(initial=1.0))
-                more.append(own.view(np.int64))
-                size.append(len(d))
-                hub.append(len(h))
-                both.append(len(d) - len(own))
-            cols = [pa.array(more, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in (both, size, hub)), *(pa.array(x, pa.float64()) for x in (shared, whole, top, hub_top))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["a", "id", "comp", "more", "both", "size", "hub", "weight_both", "weight", "top", "hub_top"])
-
-    loaded = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select("id", F.col("set").alias("sb")), "id").select("a", "id", "comp", "sa", "sb")
-    return loaded.mapInArrow(run, "a long, id long, comp long, more array<long>, both long, size long, hub long, weight_both double, weight double, top double, hub_top double")
+            cols: dict[str, list] = {n: [] for n in names}
+            more_s, more_w, ends = [], [], [0]
+            for i in range(batch.num_rows):
+                h, times = np.unique(np.frombuffer(batch.column(2)[i].as_buffer(), _U), return_counts=True)
+                d, count = np.unique(np.frombuffer(batch.column(3)[i].as_buffer(), _U), return_counts=True)
+                w, has = weight(count), np.isin(d, h, assume_unique=True)
+                top, hub_top = int(count.max(initial=1)), int(times.max(initial=1))
+                whole, inside = float(w.sum()), float(w[has].sum())
+                kinds = [(0, ~has, inside)]
+                if inside >= (similarity - 1e-9) * whole and (top > 1 or hub_top > 1 or len(d) < len(h) or batch.column(5)[i].as_py()):
+                    kinds.append((1, has, 0.0))
+                for k, which, base in kinds:
+                    more_s.append(d[which])
+                    more_w.append(w[which])
+                    ends.append(ends[-1] + int(which.sum()))
+                    for n, v in zip(names, (batch.column(0)[i].as_py(), k, batch.column(1)[i].as_py(), batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), base, len(d), whole, top == 1), strict=False):
+                        cols[n].append(v)
+            flat = pa.StructArray.from_arrays([pa.array((np.concatenate(more_s) if more_s else np.zeros(0, _U)).view(np.int64)), pa.array(np.concatenate(more_w) if more_w else np.zeros(0))], ["s", "w"])
+            kinds_of = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(pa.array(cols[n], k) for n, k in zip(names, kinds_of, strict=False)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat).cast(kind)], names)
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, kind int, id long, comp long, out boolean, base double, size long, weight double, plain boolean, more array<struct<s:bigint,w:double>>")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
