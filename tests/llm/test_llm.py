@@ -309,7 +309,6 @@ def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
     odd = spark.createDataFrame([(500, "a  b \n c"), (501, " lead"), (502, "trail "), (503, "<|endoftext|> x,y."), (504, "tab\tnbsp x '’s I'll"), (505, "\0 \0"), (506, "中" * 5000)], "doc_id long, text string")
     all_ = docs.select("doc_id", "text").unionByName(odd)
     ids = collections.defaultdict(list)
@@ -347,6 +346,40 @@ def test_packing_finds_added_tokens_in_text(spark):
         assert all(zlib.crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
 
 
+def step_by_step(counts, capacity):
+    """Best-two-fit, one bin at a time."""
+    left, out = dict(counts), []
+    while any(left.values()):
+        bin_, gap = [], capacity
+        while fits := [n for n, k in left.items() if k and n <= gap]:
+            bin_.append(max(fits))
+            left[max(fits)] -= 1
+            gap -= max(fits)
+        if gap and len(bin_) > 1:
+            small = min(bin_)
+            room = gap + small
+            pairs = [(a + b, a, b) for a, k in left.items() if k for b, m in left.items() if m - (a == b) > 0 and a + b <= room]
+            best = max((t for t, _, _ in pairs), default=0)
+            if best > small:
+                _, a, b = min((x for x in pairs if x[0] == best), key=lambda x: x[1])
+                bin_.remove(small)
+                bin_ += [a, b]
+                left[small] += 1
+                left[a] -= 1
+                left[b] -= 1
+        out.append(tuple(sorted(bin_)))
+    return sorted(out)
+
+
+def test_plan_is_that_of_one_bin_at_a_time():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        capacity = int(rng.integers(8, 40))
+        counts = {int(n): int(rng.integers(1, 9)) for n in rng.choice(np.arange(1, capacity + 1), int(rng.integers(1, 8)), replace=False)}
+        got = packing.plan(counts, capacity)
+        assert sorted(tuple(sorted(b)) for b, times in got for _ in range(times)) == step_by_step(counts, capacity)
+
+
 def test_plan_replaces_the_smallest_by_two():
     # 60 + 30 leaves 10; 30 gives way to 22 + 18, which fill the gap of 40.
     assert packing.plan({60: 1, 30: 1, 22: 1, 18: 1}, 100)[0] == ([60, 18, 22], 1)
