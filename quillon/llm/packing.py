@@ -170,18 +170,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = sizes.select("length", "part", (F.sum("m").over(Window.partitionBy("length").orderBy("part")) - F.col("m")).alias("before"))
     ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start"))).join(before, ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("r") - 1)
-    # The plan as one array per length: its slots in order of rank, so that a binary-like filter finds the slot.
+    # The plan as one array per length: its slots in order of rank. A piece finds its own by halving: the last that starts at or before its rank.
     by_length: dict[int, list] = {}
-    for length, start, end, seq, offset in slots:
-        by_length.setdefault(length, []).append((start, end, seq, offset))
-    look = spark.createDataFrame([(k, v) for k, v in sorted(by_length.items())], "length long, slots array<struct<start:long,end:long,seq:long,at:long>>")
-    hit = F.element_at(F.filter("slots", lambda s: (s["start"] <= F.col("rank")) & (F.col("rank") < s["end"])), 1)
+    for length, start, _, seq, offset in slots:
+        by_length.setdefault(length, []).append((start, seq, offset))
+    most = max((len(v) for v in by_length.values()), default=1)
+    look = spark.createDataFrame([(k, v) for k, v in sorted(by_length.items())], "length long, slots array<struct<start:long,seq:long,at:long>>")
+    steps = F.array(*[F.lit(1 << b) for b in range(most.bit_length() - 1, -1, -1)])
+    last = F.aggregate(steps, F.lit(0), lambda at, jump: F.when(F.get("slots", at + jump)["start"] <= F.col("rank"), at + jump).otherwise(at))
     # At most `capacity` rows of lengths, whatever the corpus.
-    placed = ranked.join(F.broadcast(look), "length").withColumn("slot", hit)
+    placed = ranked.join(F.broadcast(look), "length").withColumn("slot", F.get("slots", last))
     keep = [c for c in pieces.columns]
     return placed.select(*keep, (F.col("slot.seq") + F.col("rank") - F.col("slot.start")).alias("sequence_id"), F.col("slot.at").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document; a null text counts as empty (one end id)."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document; a null text counts as empty (one end id).
+
+    Added tokens of the vocabulary that stand in a text are one id each, as its JSON says. A null id stays null; rows that repeat are packed
+    each for itself; other columns, whatever their names, play no part; no rows give none."""
     return pack(tokenise(docs, capacity, id_col, text_col), capacity)
