@@ -1,7 +1,7 @@
 """Personal data, with DataFrame functions only: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 A kind is searched only in texts that can hold it (an "@", a "+", digits). Splitting a text at a pattern gives the gaps between its matches,
-and the running sum of gaps and matches gives positions in code points. Patterns take their runs possessively and
+and running sums of gaps and matches, in a logarithmic number of rounds, give positions in code points. Patterns take their runs possessively and
 start only at a run's beginning, so no text costs more than one pass a kind; this leaves the matches as they are. An IBAN's
 length is that of its country, so its pattern has a branch for each length and does not run on into the next word."""
 
@@ -77,18 +77,22 @@ def _candidate(kind: str, text: str) -> str:
     return {"email": f"contains({text}, '@')", "phone": f"contains({text}, '+')", "ip": f"{digit} and {text} rlike '[0-9][.][0-9]'", "card": f"{digit} and {text} rlike '[0-9](?:[ -]?[0-9]){{11}}'", "iban": f"{digit} and {text} rlike '[A-Z]{{2}}[0-9]{{2}}'", "local_phone": f"{digit} and {text} rlike '[0-9]{{3}}[ .-][0-9]{{4}}'"}[kind]
 
 
+def _prefix_sums(sizes: str) -> str:
+    """Running sums of an array in log2(n) rounds: in each, every element adds the one twice as far back as in the round before. A fold that appends would copy its result n times."""
+    step = "transform(x, (v, i) -> v + coalesce(get(x, i - cast(shiftleft(1, k) as int)), 0))"
+    return f"if(size({sizes}) < 2, {sizes}, aggregate(sequence(0, cast(ceil(log2(greatest(size({sizes}), 2))) as int) - 1), {sizes}, (x, k) -> {step}))"
+
+
 def _spans(kind: str, order: int, text: str) -> Column:
     pattern, score = PATTERNS[kind]
     p = _quoted(pattern)
-    place = "struct<start: int, ord: int, end: int, kind: string, hit: string, before: string>"
-    walk = (
-        f"aggregate(sequence(1, size(w.hits)), named_struct('at', 0, 'out', cast(array() as array<{place}>)), (acc, i) -> named_struct("
-        "'at', acc.at + length(w.gaps[i - 1]) + length(w.hits[i - 1]), 'out', concat(acc.out, array(named_struct("
-        f"'start', acc.at + length(w.gaps[i - 1]), 'ord', {order}, 'end', acc.at + length(w.gaps[i - 1]) + length(w.hits[i - 1]), "
-        f"'kind', '{kind}', 'hit', w.hits[i - 1], 'before', right(w.gaps[i - 1], {NEAR}))))), acc -> acc.out)"
-    )
     one = f"array(named_struct('gaps', split({text}, {p}, -1), 'hits', regexp_extract_all({text}, {p}, 0)))"
-    found = f"flatten(transform(filter({one}, w -> size(w.hits) > 0), w -> {walk}))"
+    ends = f"transform({one}, w -> named_struct('gaps', w.gaps, 'hits', w.hits, 'sizes', transform(w.hits, (h, i) -> length(w.gaps[i]) + length(h))))"
+    ends = f"transform({ends}, w -> named_struct('gaps', w.gaps, 'hits', w.hits, 'ends', {_prefix_sums('w.sizes')}))"
+    # What stands before a hit, an earlier hit of its kind included.
+    before = f"right(concat(coalesce(right(get(w.gaps, i - 1), {NEAR}), ''), coalesce(right(get(w.hits, i - 1), {NEAR}), ''), right(w.gaps[i], {NEAR})), {NEAR})"
+    place = f"named_struct('start', w.ends[i] - length(h), 'ord', {order}, 'end', w.ends[i], 'kind', '{kind}', 'hit', h, 'before', {before})"
+    found = f"flatten(transform(filter({ends}, w -> size(w.hits) > 0), w -> transform(w.hits, (h, i) -> {place})))"
     scored = (
         f"transform(filter({found}, s -> {_valid(kind)}), s -> named_struct('start', s.start, 'ord', s.ord, 'end', s.end, 'kind', s.kind, "
         f"'score', {score}D + if(lower(s.before) rlike '(?:^|[^a-z])(?:{CONTEXT[kind]})[^a-z]', {BONUS}D, 0D)))"
