@@ -139,13 +139,12 @@ def screen(batch: DataFrame, filters: DataFrame, n_buckets: int) -> DataFrame:
     return asked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(ask, "sha string")
 
 
-def confirmed(positives: DataFrame, batch: DataFrame, snapshot: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(positives: DataFrame, batch: DataFrame, snapshot: DataFrame, texts: DataFrame) -> DataFrame:
     """Positives that join the snapshot's exact bucket and whose text has the same bytes as its representative's."""
     pairs = materialise(positives.join(batch.select("sha", F.col("id").alias("batch_id"), F.col("n_chars").alias("batch_chars")), "sha").join(snapshot.select("sha", F.col("id").alias("snap_id"), F.col("n_chars").alias("snap_chars")), "sha"))
     wanted = pairs.select("sha", F.col("batch_id").alias("wid"), F.col("batch_chars").alias("wchars"), F.lit(True).alias("new")).unionByName(
         pairs.select("sha", F.col("snap_id").alias("wid"), F.col("snap_chars").alias("wchars"), F.lit(False).alias("new"))
     )
-    texts = docs.select(F.col(id_col).alias("tid"), text_or_empty(text_col).alias("wtext"))
     same = (F.length("wtext") == F.col("wchars")) & (F.sha2(normalised("wtext").cast("binary"), 256) == F.col("sha"))
     got = texts.join(wanted.hint("merge"), F.col("tid").eqNullSafe(F.col("wid"))).where(same).select("sha", "new", normalised("wtext").alias("bytes")).dropDuplicates(["sha", "new"])
     new = got.where("new").select("sha", F.col("bytes").alias("a"))
@@ -153,47 +152,76 @@ def confirmed(positives: DataFrame, batch: DataFrame, snapshot: DataFrame, docs:
     return new.join(old, "sha").where(F.col("a") == F.col("b")).select("sha")
 
 
-def annotate(batch: DataFrame, snapshot: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
+class Snapshot:
+    """What never changes of a snapshot: a row for each (digest, id), one for each digest, the filters, and the documents themselves for byte checks."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, reps: DataFrame, filters: DataFrame, n_buckets: int):
+        self.docs, self.rows, self.reps, self.filters, self.n_buckets = docs, rows, reps, filters, n_buckets
+
+
+def _digested(docs: DataFrame, id_col: str, text_col: str, keys_per_filter: int, write) -> Snapshot:
+    rows = write("rows", group_digests(docs, id_col, text_col))
+    reps = write("reps", representatives(rows))
+    n_buckets = max(1, -(-reps.count() // keys_per_filter))
+    filters = write("filters", build_filters(reps, n_buckets).withColumn("n_buckets", F.lit(n_buckets)))
+    return Snapshot(docs.select(F.col(id_col).alias("tid"), text_or_empty(text_col).alias("wtext")), rows, reps, filters.drop("n_buckets"), n_buckets)
+
+
+def build_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keys_per_filter: int = KEYS_PER_FILTER) -> Snapshot:
+    """Digests docs once and writes digests and filters to `path`; later batches open them (`open_snapshot`) and hash only themselves."""
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return _digested(docs, id_col, text_col, keys_per_filter, write)
+
+
+def open_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
+    """The snapshot that `build_snapshot` wrote of the same docs."""
+    rows, reps, filters = (docs.sparkSession.read.parquet(f"{path}/{name}") for name in ("rows", "reps", "filters"))
+    first = filters.select("n_buckets").first()
+    return Snapshot(docs.select(F.col(id_col).alias("tid"), text_or_empty(text_col).alias("wtext")), rows, reps, filters.drop("n_buckets"), first["n_buckets"] if first else 1)
+
+
+def annotate(batch: DataFrame, snapshot: DataFrame | Snapshot | None = None, id_col: str = "doc_id", text_col: str = "text", keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
     """A row for each row of batch and snapshot: id, keep_id, group_size, kept, sha, new (in the batch), known (its text is in the snapshot).
 
     Texts are equal when identical after white space (20, 09 to 0D) is deleted; null counts as empty.
     Of equal texts the one with most code points stays, then the smallest id; a null id comes last.
     Of rows that repeat an id and text exactly, one counts as kept. An empty table gives no rows;
-    other columns, whatever their names, are ignored.
+    other columns, whatever their names, are ignored. A batch group joins the snapshot's only if its digest passed the filter, the exact bucket and the byte check.
     """
     fresh = materialise(group_digests(batch, id_col, text_col).withColumn("new", F.lit(True)))
+    fresh_reps = materialise(representatives(fresh))
     if snapshot is None:
-        return _label(fresh.withColumn("known", F.lit(False)), representatives(fresh), id_col)
-    old = materialise(group_digests(snapshot, id_col, text_col).withColumn("new", F.lit(False)))
-    fresh_reps, old_reps = materialise(representatives(fresh)), materialise(representatives(old))
-    n_buckets = max(1, -(-max(fresh_reps.count(), old_reps.count()) // keys_per_filter))
-    positives = screen(fresh_reps, build_filters(old_reps, n_buckets), n_buckets)
-    both = batch.select(F.col(id_col), F.col(text_col)).unionByName(snapshot.select(F.col(id_col), F.col(text_col)))
-    known = materialise(confirmed(positives, fresh_reps, old_reps, both, id_col, text_col))
-    # Confirmed digests merge with the snapshot's group; those of the batch alone were grouped above and stay apart.
-    merged = fresh_reps.withColumn("from_new", F.lit(True)).join(known.withColumn("hit", F.lit(True)), "sha", "left").withColumn("known", F.coalesce("hit", F.lit(False))).drop("hit")
-    groups = (
-        merged.select("sha", "id", "n_chars", "size", "known")
-        .unionByName(old_reps.withColumn("known", F.lit(False)))
-        .groupBy("sha")
-        .agg(F.max(F.struct("n_chars", F.bitwise_not("id").alias("inv"))).alias("best"), F.sum("size").alias("size"), F.max("known").alias("known"))
-        .select("sha", F.bitwise_not("best.inv").alias("id"), F.col("best.n_chars").alias("n_chars"), "size", "known")
-    )
-    return _label(fresh.unionByName(old).withColumn("known", F.lit(None).cast("boolean")), groups, id_col)
+        return _label(fresh, fresh_reps.withColumn("new", F.lit(True)).withColumn("known", F.lit(False)), id_col)
+    if isinstance(snapshot, DataFrame):
+        snapshot = _digested(snapshot, id_col, text_col, keys_per_filter, lambda _, df: materialise(df))
+    texts = batch.select(F.col(id_col).alias("tid"), text_or_empty(text_col).alias("wtext")).unionByName(snapshot.docs)
+    known = materialise(confirmed(screen(fresh_reps, snapshot.filters, snapshot.n_buckets), fresh_reps, snapshot.reps, texts))
+    # Confirmed digests make one group of the batch's and the snapshot's; all others stay groups of their side.
+    order = lambda t: F.struct(t["n_chars"].alias("n_chars"), F.bitwise_not(t["id"]).alias("inv"))
+    a, b = fresh_reps.alias("a"), snapshot.reps.alias("b")
+    both = known.join(a, "sha").join(b, "sha").select("sha", F.greatest(order({c: F.col(f"a.{c}") for c in ("n_chars", "id")}), order({c: F.col(f"b.{c}") for c in ("n_chars", "id")})).alias("best"), (F.col("a.size") + F.col("b.size")).alias("both_size"))
+    sides = fresh_reps.withColumn("new", F.lit(True)).unionByName(snapshot.reps.withColumn("new", F.lit(False))).join(both, "sha", "left")
+    hit = F.col("best").isNotNull()
+    groups = sides.select("sha", "new", F.when(hit, F.bitwise_not("best.inv")).otherwise(F.col("id")).alias("id"), F.when(hit, F.col("best.n_chars")).otherwise(F.col("n_chars")).alias("n_chars"), F.when(hit, F.col("both_size")).otherwise(F.col("size")).alias("size"), hit.alias("known"))
+    return _label(fresh.unionByName(snapshot.rows.withColumn("new", F.lit(False))), groups, id_col)
 
 
 def _label(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """Rows with the group of their digest. groups has one row a digest, so a hot digest is on one side only and a skewed join splits it."""
-    g = groups.select(F.col("sha").alias("gsha"), F.col("id").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("size").alias("group_size"), *([F.col("known").alias("gknown")] if "known" in groups.columns else [F.lit(False).alias("gknown")]))
+    """Rows with the group of their digest and side. groups has one row for each of these, so a hot digest is on one side only and a skewed join splits it."""
+    g = groups.select(F.col("sha").alias("gsha"), F.col("new").alias("gnew"), F.col("id").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("size").alias("group_size"), F.col("known").alias("gknown"))
     best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     return (
-        rows.join(g, F.col("sha") == F.col("gsha"))
+        rows.join(g, (F.col("sha") == F.col("gsha")) & (F.col("new") == F.col("gnew")))
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
         .select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), (best & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), "new", (F.col("new") & F.col("gknown")).alias("known"), F.col("n").alias("n_same"))
     )
 
 
-def keep_documents(docs: DataFrame, snapshot: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_documents(docs: DataFrame, snapshot: DataFrame | Snapshot | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they came; with a snapshot, texts that it has are gone.
 
     Rows that repeat id and text give one row, the smallest by their other columns' JSON."""
