@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-A text becomes a TF-IDF vector of hashed letter trigrams (lower case, TF as 1 + ln, length 1). Each language has several
+A text becomes a TF-IDF vector of hashed letter trigrams (lower case, TF as ln(1 + count), length 1). Each language has several
 centroids, clustered from a bounded sample of its labelled texts; the nearest by cosine names the language. A text whose
 nearest centroid is further away than nearly all of that centroid's training texts is flagged as rejected."""
 
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._common import text_or_empty
 
-#: Hashed trigram dimensions; centroids of a language; labelled texts that fit it, at most about this many of each language.
-DIMS, CENTROIDS, FIT_ROWS = 4096, 6, 600
+#: Hashed trigram dimensions; centroids of a language; labelled texts that fit it, at most about this many of each language and of all.
+DIMS, CENTROIDS, FIT_ROWS, FIT_TOTAL = 4096, 6, 600, 6000
 BLOCK = 1_000_000
 #: Share of a centroid's training texts that its radius leaves out.
 OUTSIDE = 0.005
@@ -66,15 +66,19 @@ def _rows(batch, block: int = BLOCK):
 def fit(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """A model from rows for which `trains` holds and whose language is known: languages, idf, centroids, radii.
 
-    About FIT_ROWS texts of each language are taken by a hash of the id; whole texts are counted on the executors, and only
-    their tables of DIMS counts (a byte-bounded size whatever the texts) come to the driver."""
-    known = docs.where(trains & F.col(lang_col).isNotNull() & (F.length(text_or_empty(text_col)) > 0))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
-    if not sizes:
+    About FIT_ROWS texts of each language, and FIT_TOTAL of all, are taken by a hash of the id; whole texts are counted on the executors, and only
+    their tables of DIMS counts (8 KB each, so about 50 MB at most, whatever the texts and however many languages) come to the driver.
+    Texts that are null or empty teach nothing; rows that repeat teach as often as they are there; other columns, whatever their names, play no part."""
+    known = docs.where(trains & F.col(lang_col).isNotNull() & (F.length(text_or_empty(text_col)) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), _letters(text_col).alias("text"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_langs = sizes.count()
+    if not n_langs:
         return {"langs": [], "idf": np.ones(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "of": np.zeros(0, int), "radius": np.zeros(0)}
-    scale = 1 << 20
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(scale * min(1.0, FIT_ROWS / n))))])
-    sample = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(scale)) < share[F.col(lang_col)])
+    scale = 1 << 40
+    each = F.lit(max(1.0, min(FIT_ROWS, FIT_TOTAL / n_langs)))
+    share = sizes.select("lang", (F.lit(scale) * F.least(F.lit(1.0), each / F.col("n"))).cast("long").alias("share"))
+    # A row for each language; so many that they would weigh something are joined without a hint.
+    sample = known.join(F.broadcast(share) if n_langs <= 100_000 else share, "lang").where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(scale)) < F.col("share"))
 
     def run(batches):
         for batch in batches:
@@ -82,7 +86,7 @@ def fit(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str =
                 tf = counts(data, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array([np.minimum(r, 65535).astype(np.uint16).tobytes() for r in tf], pa.binary())], ["lang", "tf"])
 
-    got = sample.select(F.col(lang_col).alias("lang"), _letters(text_col).alias("text")).mapInArrow(run, "lang string, tf binary").toPandas()
+    got = sample.select("lang", "text").mapInArrow(run, "lang string, tf binary").toPandas()
     tf = np.stack([np.frombuffer(x, np.uint16) for x in got["tf"]]).astype(np.float32) if len(got) else np.zeros((0, DIMS), np.float32)
     lang = got["lang"].to_numpy()
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
