@@ -94,20 +94,31 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def _pairwise(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, one summation order for every pair whatever the blocks: equal vectors get equal scores."""
-    out = np.zeros((len(q), len(x)))
-    for j in range(q.shape[1]):
-        out += np.multiply.outer(q[:, j], x[:, j])
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of q with each row of x in double precision, one summation order whatever the block: equal vectors get equal scores."""
+    out = np.zeros(len(x))
+    for j in range(len(q)):
+        out += q[j] * x[:, j]
     return out
 
 
+def _rerank(q: np.ndarray, x: np.ndarray, k: int):
+    """For each row of q the rows of x that can be among its k best, and their exact scores: a matrix product chooses, with room for its rounding."""
+    rough = q @ x.T
+    slack = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0))
+    for i in range(len(q)):
+        edge = np.partition(rough[i], len(x) - k)[len(x) - k] - slack[i] if len(x) > k else -np.inf
+        rows = np.flatnonzero(rough[i] >= edge)
+        yield rows, _exact(q[i], x[rows])
+
+
 def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall_goal: float = 0.96) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found by inner product, nearest first, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold a null, NaN or infinity take no part, nor do rows with a null id
     or another length than most. Equal vectors are indexed once with their k+1 smallest ids, which is all that a
-    list of k can show of them. Rows that repeat an id count once. With no vectors or no queries the result is empty.
+    list of k can show of them. Of rows that repeat an id the one with the smallest vector (in order of its components) counts, and it is a query if any of
+    them is. Other columns play no part. With no vectors or no queries the result is empty.
     """
     spark = vectors.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
@@ -116,14 +127,15 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "v
     if not lengths:
         return spark.createDataFrame([], out_schema)
     dim = lengths[0]["d"]
-    base = materialise(base.where(F.size("v") == dim))
+    # One row an id: rows that repeat one are folded map-side.
+    base = materialise(base.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"), F.max(F.coalesce("q", F.lit(False))).alias("q")))
     # Copies of a vector: their smallest ids, ranked before the shuffle and again after it, in salted parts first.
     hashed = base.select("id", "v", "q", F.xxhash64("v").alias("h"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
     part = hashed.withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
     few = part.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= k + 1)
-    points = materialise(few.groupBy("h", "v").agg(F.min("id").alias("pid"), F.array_distinct(F.sort_array(F.collect_list("id"))).alias("ids")).drop("h"))
+    points = materialise(few.groupBy("h", "v").agg(F.min("id").alias("pid"), F.sort_array(F.collect_list("id")).alias("ids")).drop("h"))
     # Queries ask once for each distinct vector, so copies of one never meet in a task.
-    askers = base.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("qv")).distinct().join(points.select("pid", F.col("v").alias("pv")), F.col("qv") == F.col("pv")).select("query_id", F.col("pid").alias("qid"))
+    askers = base.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("qv")).join(points.select("pid", F.col("v").alias("pv")), F.col("qv") == F.col("pv")).select("query_id", F.col("pid").alias("qid"))
     askers = materialise(askers)
     asked = askers.select("qid").distinct()
     n = points.count()
@@ -143,7 +155,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "v
     sizes = ranged.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("m"))
     before = sizes.select("curve", "part", (F.sum("m").over(Window.partitionBy("curve").orderBy("part")) - F.col("m")).alias("before"))
     placed = materialise(
-        ranged.withColumn("r", F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "pid"))).join(F.broadcast(before) if n < 10_000_000 else before, ["curve", "part"]).select("curve", "pid", "v", "ids", (F.col("before") + F.col("r") - 1).alias("place"))
+        ranged.withColumn("r", F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "pid"))).join(before, ["curve", "part"]).select("curve", "pid", "v", "ids", (F.col("before") + F.col("r") - 1).alias("place"))
     )
 
     reach = _fit_reach(asked, points, placed, k, recall_goal, n)
@@ -160,11 +172,11 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "v
         if len(q) and len(own):
             x = _stack(own["v"])
             size = own["ids"].map(len).to_numpy()
-            ids, of = np.concatenate(own["ids"].to_numpy()), np.repeat(np.arange(len(own)), size)
+            ids, first = np.concatenate(own["ids"].to_numpy()), np.cumsum(size) - size
             for lo in range(0, len(q), 64):
                 some = q.iloc[lo : lo + 64]
-                for qid, s in zip(some["qid"], _pairwise(_stack(some["qv"]), x), strict=True):
-                    top, who = _best(s[of], ids, k + 1)
+                for qid, (near, s) in zip(some["qid"], _rerank(_stack(some["qv"]), x, k + 1), strict=True):
+                    top, who = _best(np.repeat(s, size[near]), np.concatenate([ids[first[r] : first[r] + size[r]] for r in near]), k + 1)
                     rows.append((qid, who, top))
         return pd.DataFrame(rows, columns=["qid", "ids", "scores"])
 
