@@ -1,12 +1,12 @@
 """Substring deduplication: Rabin-Karp hashes of every window of `width` words, compared in Spark.
 
-Documents are dealt into chunks that are ranges of doc_id. A chunk hashes all its windows, drops those that it has
+Documents are dealt into chunks that are ranges of doc_id, cut at quantiles. A chunk hashes all its windows, drops those that it has
 met earlier itself, and sends the sorted distinct hashes on, dealt by a second, independent hash into buckets. A bucket
 sees every chunk's hashes of its range; for each hash the first chunk, in order of doc_id, owns it. Every other
 chunk gets one bit for each hash it sent: starts earlier or not. The chunk then marks the words of such windows; runs of
 marked words are the maximal removal intervals. So a window costs 8 bytes in the shuffle and the texts move once.
 
-A false match needs equal 64-bit hashes within one bucket. The number of buckets follows the input, so the
+A false match needs equal 64-bit hashes within one bucket, which another hash of other word hashes chooses. The number of buckets follows the input, so the
 expected number of false matches grows in proportion to the windows (some 1e-13 for each), not with their square.
 """
 
@@ -16,13 +16,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
 
-#: Text of a chunk in bytes, and hashes of a bucket, on average.
-CHUNK_BYTES, BUCKET_HASHES = 6_000_000, 2_000_000
+#: Text of a chunk in bytes, and hashes of a bucket, on average; bounds of chunks that are looked up one by one; seed of the second word hash.
+CHUNK_BYTES, BUCKET_HASHES, MOST_BOUNDS, SECOND = 6_000_000, 1_000_000, 20_000, 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 OUT = "doc_id long, n_words long, n_removed long, intervals array<struct<first:int,last:int>>, kept_sha256 string"
 OUT_FULL = "doc_id long, n_words long, n_removed long, intervals array<struct<first:int,last:int>>, kept string, kept_sha256 string"
@@ -47,7 +47,8 @@ def _windows(t: pa.Table, width: int, n_buckets: int):
         at, _ = W.windows_in_rows(first, width)
         if len(at):
             hashes.append(W.hash_windows(w, width)[at])
-            buckets.append((W.hash_windows(w, width, W.WORD_BASE_2)[at] % _U(n_buckets)).astype(np.int64))
+            second = W.hash_windows(W.hash_words(some, starts, ends, SECOND), width, W.WORD_BASE_2)
+            buckets.append((second[at] % _U(n_buckets)).astype(np.int64))
         at_all.append(at + base)
         firsts.append(first[:-1] + base)
         rows.append((lo, hi, some, starts, ends, first, base))
@@ -65,15 +66,36 @@ def _distinct(buckets: np.ndarray, hashes: np.ndarray):
     return order, fresh, b[fresh], h[fresh]
 
 
+def _place(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted bounds the value has reached, by halving."""
+    steps = F.array(*[F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1)])
+    all_ = F.lit(bounds)
+    return F.aggregate(steps, F.lit(0), lambda at, jump: F.when(F.get(all_, at + jump - 1) <= value, at + jump).otherwise(at))
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """docs as (chunk, doc_id, text), chunks being ranges of doc_id in order (null last), and the number of words at most."""
+    """docs as (chunk, doc_id, text), and their bytes. Chunks are ranges of doc_id in order (null last) that hold about as many documents each, however ids lie.
+
+    Their bounds are quantiles, at most MOST_BOUNDS; with more chunks than that each range is cut into equal parts."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     s = base.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.octet_length("text").cast("long")).alias("size")).first()
     lo, hi, size = s["lo"] or 0, s["hi"] or 0, s["size"] or 0
     n = max(1, -(-size // chunk_bytes))
-    step = max(1, -(-(hi - lo + 1) // n))
-    chunk = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(step)).cast("long"), F.lit(n + 1).cast("long"))
-    return base.select(chunk.alias("chunk"), "doc_id", "text"), size
+    ranges = min(n, MOST_BOUNDS)
+    bounds = []
+    if ranges > 1:
+        asked = [i / ranges for i in range(1, ranges)]
+        bounds = sorted(set(base.agg(F.percentile_approx("doc_id", asked, 20 * ranges).alias("q")).first()["q"] or []))
+    parts = -(-n // ranges)
+    edges = [lo, *bounds, hi + 1]
+    at = _place(bounds, F.col("doc_id")) if bounds else F.lit(0)
+    own = base.select("doc_id", "text", at.alias("at"))
+    if parts > 1:
+        start, end = F.get(F.lit(edges), F.col("at")), F.get(F.lit(edges), F.col("at") + 1)
+        part = F.least(F.floor((F.col("doc_id") - start) / F.greatest(end - start, F.lit(1)) * F.lit(parts)), F.lit(parts - 1))
+        own = own.withColumn("at", F.col("at") * F.lit(parts) + part)
+    chunk = F.when(F.col("doc_id").isNull(), F.lit(ranges * parts + 1)).otherwise(F.col("at")).cast("long")
+    return own.select(chunk.alias("chunk"), "doc_id", "text"), size
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -81,10 +103,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     A word goes if some window of `width` words that covers it has a word sequence that also starts earlier: in a smaller
     doc_id, or earlier in the same document. Windows are judged on the input. A null or empty text has no words. Documents shorter than a window
-    stay whole. A null id counts as larger than any. Rows that repeat an id are judged as separate documents, in order of text. No rows give no rows.
+    stay whole. A null id counts as larger than any. Rows that repeat an id are judged as separate documents, in order of text. Other columns, whatever their names, play no part. No rows give no rows.
     """
     rows, size = chunked(docs, id_col, text_col, chunk_bytes)
-    n_buckets = max(64, size // 6 // BUCKET_HASHES)
+    n_buckets = max(1, -(-size // 6 // BUCKET_HASHES))
 
     def hash_chunk(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
@@ -157,12 +179,8 @@ def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) ->
         return b"", []
     lo, hi = int(starts[0]), int(ends[-1])
     if not gone.any():
-        return b" ".join(raw[lo:hi].split()) if not _odd(raw[lo:hi]) else b" ".join(raw[s:e] for s, e in zip(starts, ends, strict=True)), []
+        return b" ".join(raw[lo:hi].split()), []  # bytes.split() cuts at 20 and 09 to 0D alone
     edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
     runs = [{"first": int(a), "last": int(z) - 1} for a, z in zip(edge[::2], edge[1::2], strict=True)]
     return b" ".join(raw[s:e] for s, e in zip(starts[~gone], ends[~gone], strict=True)), runs
 
-
-def _odd(raw: bytes) -> bool:
-    """bytes.split() cuts at 20 and 09 to 0D alone, so it gives the contract's words always."""
-    return False
