@@ -16,17 +16,35 @@ from pyspark.sql import functions as F
 from quillon.functions import qa
 from quillon.functions import text as T
 
+from .provider import FATAL
+
 ATTEMPTS, FALLBACK_AT = 4, 4
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def store(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    spark: SparkSession = df.sparkSession
+class Stopped(RuntimeError):
+    """A provider's error that no further call can cure. What was accepted before it is in `done`, all calls in `log`."""
+
+    def __init__(self, message: str, done: DataFrame | None, log: DataFrame):
+        super().__init__(message)
+        self.done, self.log = done, log
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. On one machine without it a temporary one will do; on a cluster its absence is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def store(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    spark: SparkSession = df.sparkSession
+    root = shared_dir(spark)
     path = f"{root.rstrip('/')}/quillon/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,6 +99,9 @@ def retry_ladder(todo: DataFrame, provider: Provider, language: str = "Russian",
         prompts = pending.select("id", F.lit(attempt).alias("attempt"), build_prompt(F.lit(language), F.col("masked"), terms, F.col("examples"), note, F.lit(attempt == 3)).alias("prompt"), F.lit(name).alias("model"))
         replies = store(call(prompts, provider, workers))
         log = replies if log is None else log.unionByName(replies)
+        fatal = replies.where(F.col("error").startswith(FATAL)).select("error").first()
+        if fatal:
+            raise Stopped(fatal["error"], done, log)
         seen = judge(pending.join(replies.select("id", "reply", "error"), "id"))
         failed = F.col("error").isNotNull()
         clean = ~F.col("hard_bad") & ~F.col("soft_bad")
@@ -96,6 +117,19 @@ def retry_ladder(todo: DataFrame, provider: Provider, language: str = "Russian",
     return done, log
 
 
+def redo(todo: DataFrame, provider: Provider, language: str = "Russian", model: str = "main", workers: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(drafts, call log): one corrective call for each pair (id, text, translated_text, masked, toks, terms, findings); calls that fail give no draft.
+
+    A draft is text, translated_text (the old one), new_text, new_qa, new_critical and the pair's other columns."""
+    terms = F.array_join(F.transform("terms", lambda t: F.concat(t["en_term"], F.lit(" = "), t["target_term"])), "; ")
+    note = F.concat(F.lit("A reviewer found in an earlier translation: "), F.col("findings"), F.lit(" Correct that, change nothing that was right, and translate errors of the source as they stand."))
+    prompt = build_prompt(F.lit(language), F.col("masked"), terms, F.lit(""), note, F.lit(False))
+    replies = store(call(todo.select("id", F.lit(ATTEMPTS + 1).alias("attempt"), prompt.alias("prompt"), F.lit(model).alias("model")), provider, workers))
+    d = todo.join(replies.where("error is null").select("id", "reply"), "id").withColumn("_u", T.unmask(F.col("reply"), F.col("toks")))
+    d = d.withColumn("new_text", F.col("_u.text")).withColumn("new_qa", qa.run_checks(F.col("text"), F.col("_u.text"), F.col("_u.missing"), F.col("terms"), F.col("toks")))
+    return store(d.withColumn("new_critical", qa.has_severity(F.col("new_qa"), qa.CRITICAL)).drop("_u", "reply")), replies
+
+
 def token_usage(log: DataFrame) -> DataFrame:
     return log.groupBy("model", "attempt").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillon.functions import qa
 from quillon.functions import text as T
 
+from .engine import call, store
+from .provider import FATAL
+
 # Dimensions and their weights, and bounds of the score.
 WEIGHTS = {"meaning": 0.40, "completeness": 0.25, "terminology": 0.15, "grammar": 0.20}
 OVER_WEAKEST, THRESHOLD, WATCH_BELOW = 25, 85, 95
@@ -15,10 +18,14 @@ BATCH_ITEMS, BATCH_CHARS = 15, 6000
 SKIPPED = ("passthrough", "rule", "skipped", "exact")
 
 
-def to_verify(results: DataFrame, protected: tuple[str, ...] = ()) -> DataFrame:
-    """Results that a second model has to score."""
+def wants_score(protected: tuple[str, ...] = ()) -> Column:
+    """Whether a second model has to score a result: it has letters of its own and a model or the glossary gave it."""
     letters = T.blank_tokens(T.mask(F.col("text"), protected)["masked"])
-    return results.where((F.col("translated_text") != "") & ~F.col("match_type").isin(*SKIPPED) & ~qa.has_rule(F.col("qa_issues"), "api_error") & letters.rlike("[A-Za-z]"))
+    return (F.col("translated_text") != "") & ~F.col("match_type").isin(*SKIPPED) & ~qa.has_rule(F.col("qa_issues"), "api_error") & letters.rlike("[A-Za-z]")
+
+
+def to_verify(results: DataFrame, protected: tuple[str, ...] = ()) -> DataFrame:
+    return results.where(wants_score(protected))
 
 
 def pack_batches(pairs: DataFrame, group_col: str, order_col: str, size: Column, max_items: int = BATCH_ITEMS, max_chars: int = BATCH_CHARS) -> DataFrame:
@@ -78,6 +85,54 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     return scored.groupBy("batch_id", "item").agg(F.max_by("rec", "_at").alias("rec")).select("batch_id", "item", "rec.*")
 
 
+RUBRIC = "Score each translation into {language} from 0 to 100 for " + ", ".join(WEIGHTS) + '. Answer with JSON: {{"results": [{{"id", ' + ", ".join(f'"{d}"' for d in WEIGHTS) + ', "confidence", "verdict": ok, minor or major, "issues"}}]}}, each id once.'
+
+
+def pair_digest(model: str, language: str) -> Column:
+    """What a score depends on: rubric, model, both texts, required terms."""
+    return F.sha2(F.to_json(F.struct(F.lit(RUBRIC.format(language=language)).alias("r"), F.lit(model).alias("m"), F.col("text").alias("s"), F.col("translated_text").alias("t"), F.coalesce("terms_line", F.lit("")).alias("g"))).cast("binary"), 256)
+
+
+def verify_prompt(items: Column, language: str) -> Column:
+    """The rubric, then each item (item, text, translated_text, terms_line) under its number, Word markers blanked."""
+    bare = lambda c: F.regexp_replace(c, "⟦[0-9tb]+⟧", " ")
+    told = lambda x: F.concat(F.lit("\n### "), x["item"].cast("string"), F.lit("\nSource: "), bare(x["text"]), F.lit("\nTranslation: "), bare(x["translated_text"]), F.when(F.coalesce(x["terms_line"], F.lit("")) != "", F.concat(F.lit("\nRequired terms: "), x["terms_line"])).otherwise(""))
+    return F.concat(F.lit(RUBRIC.format(language=language)), F.array_join(F.transform(items, told), ""))
+
+
+def score_pairs(pairs: DataFrame, provider, cache: DataFrame | None = None, language: str = "Russian", model: str = "verifier", workers: int = 8, max_items: int = BATCH_ITEMS, max_chars: int = BATCH_CHARS) -> tuple[DataFrame, DataFrame, str | None]:
+    """(scores, call log, what stopped it) of distinct pairs (text, translated_text, terms_line); scores carry the pair's digest for the cache.
+
+    Pairs that the cache has scored cost nothing. The others go out in batches; what a reply leaves out is asked for once more, numbered anew. A fatal error
+    leaves the rest without a score. Batches are packed within shares of the pairs, dealt by digest, so no task holds them all."""
+    keyed = store(pairs.withColumn("digest", pair_digest(model, language)))
+    record = ["digest", *WEIGHTS, "confidence", "verdict", "issues"]
+    have = keyed.join(cache.select(*record), "digest") if cache is not None else None
+    todo = keyed.join(cache.select("digest"), "digest", "left_anti") if cache is not None else keyed
+    share = max(1, -(-todo.count() // 5000))
+    dealt = todo.withColumn("share", F.pmod(F.xxhash64("digest"), F.lit(share))).withColumn("ord", F.row_number().over(Window.partitionBy("share").orderBy("digest")))
+    packed = pack_batches(dealt, "share", "ord", F.length("text") + F.length("translated_text"), max_items, max_chars)
+    asked = store(packed.withColumn("batch_id", F.col("share") * 100_000 + F.col("batch")).withColumn("item", F.row_number().over(Window.partitionBy("batch_id").orderBy("ord"))).drop("share", "batch", "ord"))
+    stopped, log, found = None, None, None
+    for attempt in (1, 2):
+        items = F.array_sort(F.collect_list(F.struct("item", "text", "translated_text", "terms_line")))
+        prompts = asked.groupBy(F.col("batch_id").alias("id")).agg(items.alias("i"), F.count(F.lit(1)).cast("int").alias("n"))
+        replies = store(call(prompts.select("id", F.lit(attempt).alias("attempt"), verify_prompt(F.col("i"), language).alias("prompt"), F.lit(model).alias("model")), provider, workers))
+        log = replies if log is None else log.unionByName(replies)
+        raw = prompts.select("id", "n").join(replies.where("error is null"), "id").select(F.col("id").alias("batch_id"), F.col("n").alias("n_items"), F.col("reply").alias("raw"))
+        got = store(asked.join(parse_replies(raw), ["batch_id", "item"]).select("text", "translated_text", *record))
+        found = got if found is None else found.unionByName(got)
+        first = replies.where(F.col("error").startswith(FATAL)).select("error").first()
+        if first:
+            stopped = first["error"]
+            break
+        asked = store(asked.join(got.select("digest"), "digest", "left_anti").withColumn("item", F.row_number().over(Window.partitionBy("batch_id").orderBy("item"))))
+        if asked.isEmpty():
+            break
+    scores = found if have is None else found.unionByName(have.select("text", "translated_text", *record))
+    return scores, log, stopped
+
+
 def missing_items(asked: DataFrame, scored: DataFrame) -> DataFrame:
     """Items (batch_id, item) without a record, numbered anew for the second call."""
     left = asked.join(scored, ["batch_id", "item"], "left_anti")
@@ -85,10 +140,15 @@ def missing_items(asked: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def apply_scores(results: DataFrame, scores: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """results joined to scores by (text, translated_text), with the two issues that follow; a score that is absent is null."""
+    """results joined to scores by (text, translated_text), with the two issues that follow; a score that is absent is null.
+
+    With a column `asked`, rows that were not asked for have no score and no issue."""
+    asked = F.col("asked") if "asked" in results.columns else F.lit(True)
     joined = results.join(scores, ["text", "translated_text"], "left")
+    for name in [c for c in scores.columns if c not in ("text", "translated_text")]:
+        joined = joined.withColumn(name, F.when(asked, F.col(name)))
     extra = F.concat(
-        qa.when(F.col("confidence").isNull(), "verification_unavailable", qa.MODERATE, "not scored"),
+        qa.when(asked & F.col("confidence").isNull(), "verification_unavailable", qa.MODERATE, "not scored"),
         qa.when(F.col("confidence") < threshold, "low_confidence", qa.MODERATE, F.concat(F.col("confidence").cast("string"), F.lit("/100 "), F.coalesce("verdict", F.lit("")))),
     )
     return joined.withColumn("qa_issues", F.concat("qa_issues", extra))
@@ -98,12 +158,20 @@ def weak(results: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return results.where((F.col("confidence") < threshold) & (F.coalesce("issues", F.lit("")) != "") & F.col("match_type").isin("llm", "fuzzy") & ~F.col("from_ocr"))
 
 
+#: What a better draft replaces besides the text and its confidence, where the draft brings it.
+REPLACED = {"qa_issues": "new_qa", "verdict": "new_verdict", "issues": "new_issues", **{d: f"new_{d}" for d in WEIGHTS}}
+
+
 def repair_merge(results: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Drafts (text, translated_text, new_text, new_confidence, new_critical) replace a row only where they score higher and hold nothing critical."""
-    good = drafts.where(~F.col("new_critical")).select("text", "translated_text", "new_text", "new_confidence")
+    """Drafts (text, translated_text, new_text, new_confidence, new_critical, ...) replace a row only where they score higher and hold nothing critical."""
+    brought = {old: new for old, new in REPLACED.items() if new in drafts.columns and old in results.columns}
+    good = drafts.where(~F.col("new_critical")).select("text", "translated_text", "new_text", "new_confidence", *brought.values())
     j = results.join(good, ["text", "translated_text"], "left")
     better = F.coalesce(F.col("new_confidence") > F.col("confidence"), F.lit(False))
-    return j.withColumn("repaired", better).withColumn("translated_text", F.when(better, F.col("new_text")).otherwise(F.col("translated_text"))).withColumn("confidence", F.when(better, F.col("new_confidence")).otherwise(F.col("confidence"))).drop("new_text", "new_confidence")
+    j = j.withColumn("repaired", better)
+    for old, new in {"translated_text": "new_text", "confidence": "new_confidence", **brought}.items():
+        j = j.withColumn(old, F.when(F.col("repaired"), F.col(new)).otherwise(F.col(old)))
+    return j.drop("new_text", "new_confidence", *brought.values())
 
 
 def summary(results: DataFrame, by: list[str], threshold: int = THRESHOLD) -> DataFrame:
