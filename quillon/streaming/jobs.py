@@ -5,8 +5,10 @@ Cancelled; a finished job changes no more. Progress never falls and stays at 99
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -79,9 +81,60 @@ def final_state(events: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Every progress report with the job's progress by then: the largest so far, at most 99."""
+    """The reports that count, each with the job's progress by then: the largest so far, at most 99. A report counts while its job is running and nobody has asked it to stop."""
+    before = Window.partitionBy("job_id").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    had = lambda c, kind: F.coalesce(F.max(F.when(c, F.col("kind") == kind)).over(before), F.lit(False))
+    # A start counts once the job is there; nothing counts before that, nor after what ends or cancels it.
+    e = events.withColumn("_in", had(F.lit(True), "submit")).withColumn("_up", F.col("_in") & (F.col("kind") == "start")).withColumn("_off", F.col("_in") & F.col("kind").isin("finish", "fail", "cancel"))
+    stop = F.col("kind") == "cancel"
+    e = e.withColumn("_run", F.coalesce(F.max("_up").over(before), F.lit(False))).withColumn("_end", F.coalesce(F.max(F.when(F.col("_run") | stop, F.col("_off"))).over(before), F.lit(False)))
+    live = e.where((F.col("kind") == "progress") & F.col("_run") & ~F.col("_end"))
     w = Window.partitionBy("job_id").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return events.where(F.col("kind") == "progress").withColumn("progress", F.least(F.lit(99), F.max("percent").over(w)))
+    return live.withColumn("progress", F.least(F.lit(99), F.max("percent").over(w))).drop("_in", "_up", "_off", "_run", "_end")
+
+
+def admit(jobs: DataFrame, limit: int = 2) -> DataFrame:
+    """Queued jobs that may start now, oldest first: as many as are missing to `limit` running ones."""
+    running = jobs.agg(F.count_if(F.col("status") == RUNNING).alias("running"))
+    queued = jobs.where(F.col("status") == QUEUED).orderBy("created_at", "job_id").limit(max(1, limit))
+    place = F.row_number().over(Window.orderBy("created_at", "job_id"))
+    # At most `limit` rows are ranked.
+    return queued.withColumn("place", place).crossJoin(running).where(F.col("place") + F.col("running") <= max(1, limit)).drop("place", "running")
+
+
+# The share of a job's progress that each stage covers.
+BANDS = {"Extracting": (0, 5), "Translating": (6, 60), "Assembling": (60, 65), "Verifying": (65, 82), "Writing": (83, 97)}
+
+
+def stage_percent(stage: Column, done: Column, total: Column) -> Column:
+    """The progress of a job of whose stage `done` of `total` steps are made."""
+    share = F.when(total > 0, F.least(F.lit(1.0), done / total)).otherwise(F.lit(1.0))
+    out = F.lit(None).cast("int")
+    for name, (lo, hi) in BANDS.items():
+        out = F.when(stage == name, F.floor(F.lit(lo) + (hi - lo) * share).cast("int")).otherwise(out)
+    return out
+
+
+def lookup(jobs: DataFrame, job_id: str) -> DataFrame:
+    """One job by its id: a point filter; no rows where there is none."""
+    return jobs.where(F.col("job_id") == job_id)
+
+
+def known_fields(raw: Column, names: tuple[str, ...]) -> Column:
+    """A map without the keys that a job does not have and without empty values."""
+    return F.map_filter(raw, lambda k, v: k.isin(*names) & v.isNotNull() & (v != ""))
+
+
+def save_state(root: str):
+    """A foreachBatch function that keeps a job table under `root`: each micro-batch's states replace those of the same jobs, as a new version that readers meet whole."""
+    from quillon.operators.memory import merge_cache
+    from quillon.sources import readers
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        old = readers.current_table(batch.sparkSession, root)
+        readers.swap_table(batch if old is None else merge_cache(old, batch, ["job_id"]), root, f"{batch_id}-{uuid.uuid4().hex}")
+
+    return keep
 
 
 def recover(jobs: DataFrame) -> DataFrame:
