@@ -50,10 +50,14 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def language_line(language: Column) -> Column:
+    return F.concat(F.lit("Translate into "), language, F.lit(". Keep every [[Pn]] token."))
+
+
 def build_prompt(language: Column, masked: Column, terms: Column, examples: Column, note: Column, minimal: Column) -> Column:
     """Instruction, terms, examples, corrective note and text; the minimal form leaves all but the text out."""
     part = lambda head, c: F.when((F.coalesce(c, F.lit("")) != "") & ~minimal, F.concat(F.lit(head), c))
-    return F.concat_ws("\n", F.concat(F.lit("Translate into "), language, F.lit(". Keep every [[Pn]] token.")), part("Terms: ", terms), part("Examples: ", examples), F.when(F.coalesce(note, F.lit("")) != "", F.concat(F.lit("Note: "), note)), F.concat(F.lit("Text: "), masked))
+    return F.concat_ws("\n", language_line(language), part("Terms: ", terms), part("Examples: ", examples), F.when(F.coalesce(note, F.lit("")) != "", F.concat(F.lit("Note: "), note)), F.concat(F.lit("Text: "), masked))
 
 
 def call(prompts: DataFrame, provider: Provider, workers: int) -> DataFrame:

@@ -109,6 +109,16 @@ def canonical(segments: DataFrame, key_col: str, text_col: str = "text", order_c
     return segments.groupBy(key_col).agg(F.min_by(text_col, rank).alias("canon"))
 
 
+def ordered_distinct(df: DataFrame, key: str, pos: str) -> DataFrame:
+    """key, place: distinct keys numbered from 0 in order of their first place. Parts number themselves; a row for each part carries the sums of those before."""
+    firsts = df.groupBy(key).agg(F.min(pos).alias("_p"))
+    ranged = firsts.repartitionByRange("_p").sortWithinPartitions("_p").withColumn("_part", F.spark_partition_id())
+    own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy("_p")))
+    sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return own.join(before, "_part").select(key, (F.col("_b") + F.col("_r") - 1).alias("place"))
+
+
 def pending(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """wanted (model, text, sig) that the cache lacks, has under another signature, or has with an issue that blocks release."""
     usable = cache.where(~qa.has_severity(F.col("qa_issues"), qa.CRITICAL, qa.MODERATE)).select("model", "text", "sig")

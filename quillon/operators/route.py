@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import qa
 from quillon.functions import text as T
 
 
@@ -33,6 +34,11 @@ def route(segments: DataFrame, target_language: str = "ru", protected: tuple[str
     return m.withColumn("translated_text", target)
 
 
+def route_issues(routed: DataFrame) -> Column:
+    """What routing itself finds wrong: a page that could not be read was not translated."""
+    return qa.when(routed["match_type"] == "skipped", "ocr_not_available", qa.CRITICAL, F.concat(F.lit("scanned page was not translated: "), routed["text"]))
+
+
 def model_type(has_examples: Column) -> Column:
     return F.when(has_examples, "fuzzy").otherwise("llm")
 

@@ -132,7 +132,7 @@ class Engine:
         gave = routed.where(F.col("match_type").isNotNull())
         none = F.array().cast(TERMS)
         checks = qa.run_checks(F.col("text"), F.col("translated_text"), T.empty(), none, F.col("toks"), qa.whitelist(self.config.listed))
-        issues = F.when(F.col("match_type") == "skipped", qa.when(F.lit(True), "ocr_not_available", qa.CRITICAL, F.concat(F.lit("scanned page was not translated: "), F.col("text")))).when(F.col("match_type") == "rule", qa.none()).otherwise(checks)
+        issues = F.when(F.col("match_type") == "skipped", route.route_issues(gave)).when(F.col("match_type") == "rule", qa.none()).otherwise(checks)
         gave = gave.withColumn("qa_issues", issues)
         asked = engine.fan_out(routed.where(F.col("match_type").isNull()).drop("match_type", "translated_text"), answers).drop("canon")
         return gave.unionByName(asked.select(*gave.columns))

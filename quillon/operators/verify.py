@@ -240,6 +240,11 @@ def release_gate(results: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("status", F.when(F.col("_failed"), "failed").when(F.col("critical") + F.col("moderate") > 0, "review").otherwise("pass")).drop("_failed")
 
 
+def segment_counts(segments: DataFrame, by: list[str]) -> DataFrame:
+    """Segments with Chinese, and those that OCR read."""
+    return segments.groupBy(*by).agg(F.count_if(F.col("text").rlike(f"[{T.CJK}]")).alias("cjk_segments"), F.count_if("from_ocr").alias("ocr_segments"))
+
+
 def match_counts(results: DataFrame, by: list[str]) -> DataFrame:
     return results.groupBy(*by).agg(F.count_if(F.col("match_type") == "exact").alias("exact"), F.count_if(F.col("match_type") == "fuzzy").alias("fuzzy"), F.count_if(~F.col("match_type").isin("exact", "fuzzy")).alias("other"))
 

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import job_queries, layout_queries, text_queries  # noqa: F401
+    from . import crafted_queries, job_queries, layout_queries, page_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

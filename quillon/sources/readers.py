@@ -44,8 +44,10 @@ def word_list(spark: SparkSession, path: str, default: tuple[str, ...] = ()) ->
 
 
 def save_rows(df: DataFrame, path: str) -> None:
-    """Knowledge base rows as one JSON array file of lines."""
-    df.orderBy("pos").drop("pos").coalesce(1).write.mode("overwrite").json(path)
+    """Knowledge base rows as one JSON array in order of pos, as `json_rows` reads it. Such a file is edited by hand and read whole; tables that grow belong in Parquet."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", *[c for c in df.columns if c != "pos"])))
+    bare = F.transform(rows, lambda r: r.dropFields("pos"))
+    df.agg(F.to_json(bare, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def cache(spark: SparkSession, path: str) -> DataFrame:
@@ -73,16 +75,20 @@ def swap_table(df: DataFrame, root: str, run: str) -> str:
     return path
 
 
+def current_path(spark: SparkSession, root: str) -> str | None:
+    """Where the version lies that the pointer names."""
+    row = spark.read.text(f"{root}/current").first() if exists(spark, f"{root}/current") else None
+    return row["value"] if row else None
+
+
 def current_table(spark: SparkSession, root: str) -> DataFrame | None:
-    if not exists(spark, f"{root}/current"):
-        return None
-    row = spark.read.text(f"{root}/current").first()
-    return spark.read.parquet(row["value"]) if row else None
+    path = current_path(spark, root)
+    return spark.read.parquet(path) if path else None
 
 
-def job_state(spark: SparkSession, path: str) -> DataFrame:
-    """Jobs from their JSON files: unreadable ones are dropped, unknown fields ignored."""
-    return spark.read.schema(JOB).option("mode", "DROPMALFORMED").option("multiLine", True).json(path).where(F.col("job_id").isNotNull())
+def job_state(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Jobs from their JSON files (one job a file, or one a line): unreadable ones are dropped, unknown fields ignored."""
+    return spark.read.schema(JOB).option("mode", "DROPMALFORMED").option("multiLine", not lines).json(path).where(F.col("job_id").isNotNull())
 
 
 def settings(lines: DataFrame, real: DataFrame | None = None) -> DataFrame:
