@@ -47,13 +47,14 @@ def glossary_hits(segments: DataFrame, glossary: DataFrame, keys: list[str], tex
     """keys, pos, en_term, target_term, s, e: the first whole-word occurrence of each term in each text (s from 0, e exclusive).
 
     An inverted index on the first word of a term turns the regex join into an equi join; only its pairs are matched.
-    A word that may be a plural is looked up without its ending as well."""
+    A word that may be a plural is looked up without its ending as well; a term without any word is found by its first sign."""
     hay = F.replace(F.regexp_replace(F.col(text_col), r"(?U)\s+", " "), F.lit(" & "), F.lit(" and "))
     seg = segments.select(*keys, hay.alias("_hay"), T.key_loose(hay).alias("_whole"))
     words = F.regexp_extract_all(F.lower("_hay"), F.lit(r"(?U)\w+"), F.lit(0))
-    forms = F.array_distinct(F.concat(F.array(F.lit("")), words, F.transform(words, lambda w: F.regexp_replace(w, "s$", "")), F.transform(words, lambda w: F.regexp_replace(w, "es$", ""))))
+    signs = F.regexp_extract_all("_hay", F.lit(r"(?U)[^\w\s]"), F.lit(0))
+    forms = F.array_distinct(F.concat(signs, words, F.transform(words, lambda w: F.regexp_replace(w, "s$", "")), F.transform(words, lambda w: F.regexp_replace(w, "es$", ""))))
     term = F.replace(F.col("en_term"), F.lit(" & "), F.lit(" and "))
-    gl = glossary.select("pos", "en_term", "target_term", "exact_only", term.alias("_term"), T.key_loose(F.col("en_term")).alias("_k"), F.regexp_extract(F.lower(term), r"(?U)(\w+)", 1).alias("_w"))
+    gl = glossary.select("pos", "en_term", "target_term", "exact_only", term.alias("_term"), T.key_loose(F.col("en_term")).alias("_k"), F.coalesce(F.nullif(F.regexp_extract(F.lower(term), r"(?U)(\w+)", 1), F.lit("")), F.left(F.trim(term), F.lit(1))).alias("_w"))
     pairs = seg.withColumn("_w", F.explode(forms)).join(gl, "_w").where(~F.coalesce("exact_only", F.lit(False)) | (F.col("_k") == F.col("_whole")))
     found = pairs.withColumn("s", F.regexp_instr("_hay", _term_pattern(F.col("_term"))) - 1).where(F.col("s") >= 0)
     span = F.length(F.regexp_substr("_hay", _term_pattern(F.col("_term"))))
@@ -61,11 +62,11 @@ def glossary_hits(segments: DataFrame, glossary: DataFrame, keys: list[str], tex
 
 
 def maximal_spans(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Hits not contained in a strictly longer hit of the same text."""
-    w = Window.partitionBy(*keys)
-    all_ = F.collect_list(F.struct("s", "e")).over(w)
-    inside = F.exists("_all", lambda o: (o["s"] <= F.col("s")) & (F.col("e") <= o["e"]) & (o["e"] - o["s"] > F.col("e") - F.col("s")))
-    return hits.withColumn("_all", all_).where(~inside).drop("_all")
+    """Hits not contained in a strictly longer hit of the same text: none that begins earlier reaches as far, none that begins there reaches further."""
+    earlier = F.max("e").over(Window.partitionBy(*keys).orderBy("s").rangeBetween(Window.unboundedPreceding, -1))
+    same = F.max("e").over(Window.partitionBy(*keys, "s"))
+    told = hits.withColumn("_far", earlier).withColumn("_here", same)
+    return told.where((F.coalesce("_far", F.lit(-1)) < F.col("e")) & (F.col("_here") == F.col("e"))).drop("_far", "_here")
 
 
 def terms_for(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,13 +38,11 @@ def pack_batches(pairs: DataFrame, group_col: str, order_col: str, size: Column,
     def step(acc, x):
         full = (acc["n"] > 0) & ((acc["n"] >= max_items) | (acc["z"] + x["z"] > max_chars))
         b = F.when(full, acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(
-            b.alias("b"), F.when(full, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["z"]).otherwise(acc["z"] + x["z"]).alias("z"),
-            F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), b.alias("b")))).alias("out"),
-        )
+        state = {"b": b, "n": F.when(full, F.lit(1)).otherwise(acc["n"] + 1), "z": F.when(full, x["z"]).otherwise(acc["z"] + x["z"])}
+        return state, F.struct(x["o"].cast("long").alias("o"), b.alias("b"))
 
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("z"), F.array().cast("array<struct<o:bigint,b:int>>").alias("out"))
-    plan = keyed.groupBy(group_col).agg(items.alias("_i")).select(group_col, F.explode(F.aggregate("_i", start, step, lambda a: a["out"])).alias("_p"))
+    start = {"b": F.lit(0), "n": F.lit(0), "z": F.lit(0).cast("long")}
+    plan = keyed.groupBy(group_col).agg(items.alias("_i")).select(group_col, F.explode(T.scan(F.col("_i"), start, step, "struct<o:bigint,b:int>")).alias("_p"))
     plan = plan.select(group_col, F.col("_p.o").alias(order_col), F.col("_p.b").alias("batch"))
     return keyed.drop("_size").join(plan, [group_col, order_col])
 
@@ -193,16 +191,22 @@ def _translated() -> Column:
     return (F.col("translated_text") != "") & F.col("match_type").isin("llm", "fuzzy", "exact")
 
 
+def _nowhere() -> Column:
+    """A key that no group has, one of a thousand: rows that belong to no group must not all meet in the task of null."""
+    return F.concat(F.lit("\0"), F.pmod(F.xxhash64("text"), F.lit(1000)).cast("string"))
+
+
 def harmonise(results: DataFrame, max_chars: int = 80) -> DataFrame:
     """Short labels that differ by case, spacing or final punctuation get one translation: an approved one, else the best scored, else the first.
 
     The group's best row comes from one aggregate and is joined back, so a label on every page is no window of its own."""
     fits = _translated() & (F.length("text") <= max_chars) & ~F.contains("text", F.lit("\n"))
     keyed = results.withColumn("_k", F.when(fits, T.key_norm(F.col("text"))))
+    spread = F.coalesce("_k", _nowhere())
     norm = T.key_norm(F.col("translated_text"))
     best = F.max_by(F.struct("text", "translated_text", "confidence"), F.struct(F.col("match_type") == "exact", F.coalesce("confidence", F.lit(0)), -F.col("seq")))
     groups = keyed.where(F.col("_k").isNotNull()).groupBy(F.col("_k").alias("_g")).agg(best.alias("_b"), F.min(norm).alias("_lo"), F.max(norm).alias("_hi")).where(F.col("_lo") != F.col("_hi"))
-    j = keyed.join(groups, F.col("_k") == F.col("_g"), "left")
+    j = keyed.withColumn("_j", spread).join(groups, F.col("_j") == F.col("_g"), "left").drop("_j")
     change = F.coalesce(norm != T.key_norm(F.col("_b.translated_text")), F.lit(False))
     new = F.concat(T.core(F.col("_b.translated_text")), T.suffix(F.col("text")))
     new = F.when(T.all_upper(F.col("text")) & ~T.all_upper(F.col("_b.text")), F.upper(new)).otherwise(new)
@@ -216,17 +220,18 @@ def harmonise(results: DataFrame, max_chars: int = 80) -> DataFrame:
 
 
 def inconsistent(results: DataFrame) -> DataFrame:
-    """key, n_variants, shown: texts with more than one normalised translation. Variants are made distinct before they are gathered."""
-    rows = results.where(_translated()).select(T.key_norm(F.col("text")).alias("key"), T.key_norm(F.col("translated_text")).alias("v"), F.left("translated_text", F.lit(40)).alias("t"))
-    groups = rows.groupBy("key").agg(F.count_distinct("v").alias("n_variants")).where(F.col("n_variants") > 1)
-    three = Window.partitionBy("key").orderBy("t")
-    shown = rows.select("key", "t").distinct().withColumn("r", F.row_number().over(three)).where(F.col("r") <= 3).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("t")), " | ").alias("shown"))
-    return groups.join(shown, "key")
+    """key, n_variants, shown: texts with more than one normalised translation, with the first three of their beginnings. One pass makes (key, variant, beginning)
+    distinct, map-side first; only keys with several variants are ranked."""
+    rows = results.where(_translated()).select(T.key_norm(F.col("text")).alias("key"), T.key_norm(F.col("translated_text")).alias("v"), F.left("translated_text", F.lit(40)).alias("t")).distinct()
+    per = Window.partitionBy("key")
+    odd = rows.withColumn("lo", F.min("v").over(per)).withColumn("hi", F.max("v").over(per)).where("lo <> hi").drop("lo", "hi")
+    told = odd.withColumn("r", F.dense_rank().over(per.orderBy("t"))).withColumn("u", F.dense_rank().over(per.orderBy("v")))
+    return told.groupBy("key").agg(F.max("u").cast("long").alias("n_variants"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("r") <= 3, F.col("t")))), " | ").alias("shown"))
 
 
 def flag_inconsistent(results: DataFrame) -> DataFrame:
     odd = inconsistent(results)
-    j = results.withColumn("key", F.when(_translated(), T.key_norm(F.col("text")))).join(odd, "key", "left")
+    j = results.withColumn("key", F.coalesce(F.when(_translated(), T.key_norm(F.col("text"))), _nowhere())).join(odd, "key", "left")
     return j.withColumn("qa_issues", F.concat("qa_issues", qa.when(F.col("n_variants") > 1, "inconsistent_translation", qa.MODERATE, F.col("shown")))).drop("key", "n_variants", "shown")
 
 

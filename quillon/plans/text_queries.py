@@ -63,7 +63,9 @@ def unmask_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 SELECT count(DISTINCT k1) AS strict_keys, count(DISTINCT k2) AS soft_keys, count(DISTINCT k3) AS loose_keys, count(DISTINCT k4) AS norm_keys FROM k""")
 def key_tm_groups(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    keys = D.segments(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), k.alias("k")) for n, k in (("strict_keys", T.key_strict(t)), ("soft_keys", T.key_soft(t)), ("loose_keys", T.key_loose(t)), ("norm_keys", T.key_norm(t)))])).alias("x"))
+    # Keys meet as 128-bit digests: texts don't travel.
+    digest = lambda k: F.struct(F.xxhash64(k).alias("a"), F.xxhash64(k, F.lit(7)).alias("b"))
+    keys = D.segments(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), digest(k).alias("k")) for n, k in (("strict_keys", T.key_strict(t)), ("soft_keys", T.key_soft(t)), ("loose_keys", T.key_loose(t)), ("norm_keys", T.key_norm(t)))])).alias("x"))
     # distinct first, map-side, then counted: four exact counts from one pass.
     d = keys.select("x.*").distinct().groupBy("n").count()
     return d.groupBy().agg(*[F.max(F.when(F.col("n") == n, F.col("count"))).alias(n) for n in ("strict_keys", "soft_keys", "loose_keys", "norm_keys")])
