@@ -18,22 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. On one machine without it one of our own will do; on a cluster its absence is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of tables that this process has written, by session.
+_written: dict[int, list[str]] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. `clean` removes such tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(id(spark._jsparkSession), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that `materialise` has written in this session. DataFrames that were built on them can't be read afterwards, so results come first."""
+    paths = _written.pop(id(spark._jsparkSession), [])
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
