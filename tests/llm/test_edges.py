@@ -234,7 +234,7 @@ def abusive(spark):
 
 def test_misspelled_only_and_quoted_only(spark, abusive):
     _, _, model = abusive
-    probe = ["you wortless scumbag", "worthlesss scumbug", 'he said "worthless scumbag" once', '"' + "so " * 400 + 'worthless scumbag" was his word', prose(20, 5), '"a" worthless scumbag "b"']
+    probe = ["you wortless scumbag", "worthlesss scumbug worthlless scumbog", 'he said "worthless scumbag" once', '"' + "so " * 400 + 'worthless scumbag" was his word', prose(20, 5), '"a" worthless scumbag "b"']
     df = spark.createDataFrame([(i, prose(30, i) + " " + t) for i, t in enumerate(probe)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
     assert [got[i]["predicted"] for i in range(6)] == [1, 1, 0, 0, 0, 1]
