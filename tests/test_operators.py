@@ -79,7 +79,7 @@ BODY = (
 def test_docx_units_and_round_trip(spark):
     raw = word_file(BODY)
     got = docx.extract(raw)
-    assert [(t, k) for _, t, k, _ in got] == [("⟦1⟧Plain ⟦2⟧bold⟦t⟧⟦1⟧end", "paragraph"), ("new", "paragraph"), ("Cell", "table_cell")] or got[0][1].startswith("⟦1⟧Plain ⟦2⟧bold")
+    assert [(t, k) for _, t, k, _ in got] == [("⟦1⟧Plain ⟦2⟧bold⟦t⟧⟦3⟧end", "paragraph"), ("new", "paragraph"), ("Cell", "table_cell")]
     same = docx.translate(raw, lambda t, loc: (t, False))
     assert [r[1] for r in docx.extract(same)] == [r[1] for r in got]
     with zipfile.ZipFile(io.BytesIO(same)) as z:
@@ -92,6 +92,36 @@ def test_docx_units_and_round_trip(spark):
     assert docx.structure_counts(raw)["tables"] == 1
 
 
+FIELDS = (
+    '<w:p><w:r><w:t>Before </w:t></w:r><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:t>CODE</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r><w:hyperlink><w:r><w:t>linked</w:t></w:r></w:hyperlink><w:r><w:t> after</w:t><w:br/></w:r></w:p>'
+    '<w:tbl><w:tblPr/><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:tc></w:tr></w:tbl>'
+    '<w:p><w:r><w:rPr><w:b w:val="0"/></w:rPr><w:t>off </w:t></w:r><w:r><w:t>same</w:t></w:r></w:p>'
+)
+
+
+def test_word_walk_cuts_at_fields_and_links_and_names_cells():
+    got = {loc: t for _, t, _, loc in docx.extract(word_file(FIELDS))}
+    assert got == {"document/p0": "Before", "document/p0.1": "linked", "document/p0.2": "after⟦b⟧", "document/tbl0/row0/col0/p1": "a", "document/tbl0/row0/col1/p2": "b", "document/tbl1/row0/col0/p3": "inner", "document/p4": "off same"}
+    out = docx.extract(docx.translate(word_file(FIELDS), lambda t, loc: ("X" if loc.endswith("p0.1") else t, True)))
+    assert {loc: t for _, t, _, loc in out} == {**got, "document/p0.1": "X"}
+    lost = docx.translate(word_file(BODY), lambda t, loc: ("⟦9⟧all ⟦2⟧kept", False))
+    assert docx.extract(lost)[0][1] == "⟦1⟧all ⟦2⟧kept"
+
+
+def test_paths_and_saved_state(spark, tmp_path):
+    from quillon.sources import sinks
+
+    assert sinks.inside("/a/b", "c/d") and sinks.inside("/a/b", ".") and not sinks.inside("/a/b", "../bc") and not sinks.inside("/a/b", "/etc")
+    keep = jobs.save_state(str(tmp_path))
+    batch = lambda *rows: spark.createDataFrame(rows, "job_id string, status string")
+    keep(batch(("a", "Queued"), ("b", "Queued")), 0)
+    keep(batch(("b", "Done"), ("c", "Queued")), 1)
+    assert {(r["job_id"], r["status"]) for r in readers.current_table(spark, str(tmp_path)).collect()} == {("a", "Queued"), ("b", "Done"), ("c", "Queued")}
+    scores = spark.createDataFrame([("d1", "t", "u", 90), ("d1", "t", "u", 90)], "digest string, text string, translated_text string, confidence int")
+    sinks.save_scores(scores, str(tmp_path / "s"), "1")
+    assert [tuple(r) for r in readers.current_table(spark, str(tmp_path / "s")).collect()] == [("d1", 90)]
+
+
 def test_settings_and_segments(spark):
     lines = spark.createDataFrame([(0, "﻿A = '1'"), (1, "# no"), (2, "A=2"), (3, ""), (4, "B=x=y")], "line long, value string")
     real = spark.createDataFrame([("B", "real")], "key string, value string")
