@@ -50,7 +50,7 @@ def underline_match(spark: SparkSession, sf: str) -> DataFrame:
     return L.underline_match(b, e)
 
 
-LABELS = """, ln AS (SELECT doc_id, page, block_id AS line_id, CASE WHEN block_id % 2 = 0 THEN left(text, 12) ELSE text END AS text, CASE WHEN block_id % 2 = 0 THEN 60 ELSE 160 END::DOUBLE AS x0, CASE WHEN block_id % 2 = 0 THEN 110 ELSE 400 END::DOUBLE AS x1, top FROM blocks)"""
+LABELS = """, ln AS (SELECT doc_id, page, block_id AS line_id, CASE WHEN block_id % 2 = 0 THEN 'No ' || block_id ELSE text END AS text, CASE WHEN block_id % 2 = 0 THEN 60 ELSE 160 END::DOUBLE AS x0, CASE WHEN block_id % 2 = 0 THEN 110 ELSE 400 END::DOUBLE AS x1, top FROM blocks)"""
 
 
 @query(f"""{WITH}{D.BLOCKS}{LABELS}, c AS (SELECT t.doc_id, t.page, t.line_id, l.line_id AS label_id, l.x1 AS lx1 FROM ln t JOIN ln l ON t.doc_id = l.doc_id AND t.page = l.page AND t.line_id <> l.line_id
@@ -59,7 +59,7 @@ LABELS = """, ln AS (SELECT doc_id, page, block_id AS line_id, CASE WHEN block_i
 SELECT doc_id, page, line_id, arg_max(label_id, (lx1, -label_id)) AS label_id FROM c GROUP BY ALL""")
 def label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     even = F.col("block_id") % 2 == 0
-    ln = D.blocks(spark, sf).select("doc_id", "page", F.col("block_id").alias("line_id"), F.when(even, F.left("text", F.lit(12))).otherwise(F.col("text")).alias("text"), F.when(even, 60.0).otherwise(160.0).alias("x0"), F.when(even, 110.0).otherwise(400.0).alias("x1"), "top", F.lit(False).alias("bulleted"))
+    ln = D.blocks(spark, sf).select("doc_id", "page", F.col("block_id").alias("line_id"), F.when(even, F.concat(F.lit("No "), F.col("block_id").cast("string"))).otherwise(F.col("text")).alias("text"), F.when(even, 60.0).otherwise(160.0).alias("x0"), F.when(even, 110.0).otherwise(400.0).alias("x1"), "top", F.lit(False).alias("bulleted"))
     return L.label_pairs(ln)
 
 
@@ -194,10 +194,10 @@ def ocr_lines(spark: SparkSession, sf: str) -> DataFrame:
     return readers.ocr_lines(w).select("doc_id", F.col("line").alias("seq"), "text")
 
 
-@query(f"{WITH}{D.SEG}, k AS (SELECT doc_id, seq, 'K' || (seq % 7) AS key, left(text, 20) AS value FROM seg) SELECT 'K' || (doc_id % 40) || '_' || key AS key, arg_min(rtrim(ltrim(value)), doc_id * 100000 + seq) AS value FROM k GROUP BY 1")
+@query(f"{WITH}{D.SEG}, k AS (SELECT doc_id, seq, 'K' || (seq % 7) AS key, text AS value FROM seg) SELECT 'K' || (doc_id % 40) || '_' || key AS key, arg_min(rtrim(ltrim(value)), doc_id * 100000 + seq) AS value FROM k GROUP BY 1")
 def settings_lines(spark: SparkSession, sf: str) -> DataFrame:
     k = F.concat(F.lit("K"), (F.col("doc_id") % 40).cast("string"), F.lit("_K"), (F.col("seq") % 7).cast("string"))
-    lines = D.segments(spark, sf).select(F.concat(F.lit(" "), k, F.lit(" = '"), F.trim(F.left("text", F.lit(20))), F.lit("'")).alias("value"), (F.col("doc_id") * 100000 + F.col("seq")).alias("line"))
+    lines = D.segments(spark, sf).select(F.concat(F.lit(" "), k, F.lit(" = '"), F.trim("text"), F.lit("'")).alias("value"), (F.col("doc_id") * 100000 + F.col("seq")).alias("line"))
     return readers.settings(lines)
 
 
@@ -313,12 +313,12 @@ def grid_detect(spark: SparkSession, sf: str) -> DataFrame:
 def spaced_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth line letter-spaced, and put together again."""
     s = D.segments(spark, sf)
-    spaced = F.trim(F.regexp_replace(F.left("text", F.lit(60)), r"(\p{L})", "$1 "))
+    spaced = F.trim(F.regexp_replace("text", r"(\p{L})", "$1 "))
     return L.rebuild_spaced(s.select("doc_id", "seq", F.when(F.col("seq") % 5 == 4, spaced).otherwise(F.col("text")).alias("text")))
 
 
-@query(f"{WITH}{D.SEG}, t AS (SELECT doc_id, seq, CASE WHEN seq % 5 = 4 THEN trim(regexp_replace(left(text, 60), '(\\p{{L}})', '\\1 ', 'g')) ELSE text END AS text FROM seg), w AS (SELECT doc_id, seq, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM t) SELECT doc_id, seq FROM w WHERE len(w) >= 12 AND len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}{{1,2}}'))) >= 0.7 * len(w)")
+@query(f"{WITH}{D.SEG}, t AS (SELECT doc_id, seq, CASE WHEN seq % 5 = 4 THEN trim(regexp_replace(text, '(\\p{{L}})', '\\1 ', 'g')) ELSE text END AS text FROM seg), w AS (SELECT doc_id, seq, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM t) SELECT doc_id, seq FROM w WHERE len(w) >= 12 AND len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}{{1,2}}'))) >= 0.7 * len(w)")
 def letter_spaced(spark: SparkSession, sf: str) -> DataFrame:
-    spaced = F.trim(F.regexp_replace(F.left("text", F.lit(60)), r"(\p{L})", "$1 "))
+    spaced = F.trim(F.regexp_replace("text", r"(\p{L})", "$1 "))
     t = F.when(F.col("seq") % 5 == 4, spaced).otherwise(F.col("text"))
     return D.segments(spark, sf).where(T.is_letter_spaced(t)).select("doc_id", "seq")

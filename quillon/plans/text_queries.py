@@ -214,19 +214,19 @@ def cache_merge(spark: SparkSession, sf: str) -> DataFrame:
     return memory.merge_cache(a, b, ["k"])
 
 
-CANON = rf"""{WITH}{D.SEG}, c AS (SELECT doc_id, seq, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS key, (text = upper(text) AND text <> lower(text)) AS caps FROM seg WHERE NOT contains(text, 'ß')),
+CANON = rf"""{WITH}{D.SEG}, c AS (SELECT doc_id, seq, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS key, (text = upper(text) AND text <> lower(text) AND NOT contains(text, 'ß')) AS caps FROM seg),
  canon AS (SELECT key, arg_min(text, (caps, doc_id, seq)) AS canon FROM c GROUP BY key)"""
 
 
 @query(f"{CANON} SELECT key, canon FROM canon")
 def canon_pick(spark: SparkSession, sf: str) -> DataFrame:
-    s = D.segments(spark, sf).where(~F.contains("text", F.lit("ß"))).withColumn("key", F.lower(T.squeeze(F.col("text")))).withColumn("ord", F.struct("doc_id", "seq"))
+    s = D.segments(spark, sf).withColumn("key", F.lower(T.squeeze(F.col("text")))).withColumn("ord", F.struct("doc_id", "seq"))
     return memory.canonical(s, "key", order_col="ord").select("key", "canon")
 
 
 @query(f"{CANON} SELECT doc_id, seq, canon, text = canon AS same FROM c JOIN canon USING (key)")
 def canon_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    s = D.segments(spark, sf).where(~F.contains("text", F.lit("ß"))).withColumn("key", F.lower(T.squeeze(F.col("text")))).withColumn("ord", F.struct("doc_id", "seq"))
+    s = D.segments(spark, sf).withColumn("key", F.lower(T.squeeze(F.col("text")))).withColumn("ord", F.struct("doc_id", "seq"))
     return s.join(memory.canonical(s, "key", order_col="ord"), "key").select("doc_id", "seq", "canon", (F.col("text") == F.col("canon")).alias("same"))
 
 
@@ -280,11 +280,11 @@ def inconsistent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""{WITH}{VARIANTS}, g AS (SELECT *, doc_id * 100000 + seq AS o FROM v WHERE length(text) <= 80), b AS (
   SELECT key AS bkey, arg_max(translated_text, (match_type = 'exact', coalesce(confidence, 0), -o)) AS bt, arg_max(text, (match_type = 'exact', coalesce(confidence, 0), -o)) AS bs FROM g GROUP BY key HAVING count(DISTINCT v) > 1)
-SELECT g.doc_id, g.seq, lower(rtrim(bt, ' :.;') || substr(text, length(rtrim(text, ' :.;')) + 1)) AS new_text FROM g JOIN b ON key = bkey
-WHERE v <> trim(regexp_replace(lower(bt), '[\s.:]+', ' ', 'g')) AND NOT contains(bt, 'ß') AND NOT contains(text, 'ß')""")
+SELECT g.doc_id, g.seq, CASE WHEN text = upper(text) AND text <> lower(text) AND NOT contains(text, 'ß') AND NOT (bs = upper(bs) AND bs <> lower(bs) AND NOT contains(bs, 'ß')) THEN replace(lower(rtrim(bt, ' :.;') || substr(text, length(rtrim(text, ' :.;')) + 1)), 'ß', 'ss')
+  ELSE lower(rtrim(bt, ' :.;') || substr(text, length(rtrim(text, ' :.;')) + 1)) END AS new_text FROM g JOIN b ON key = bkey WHERE v <> trim(regexp_replace(lower(bt), '[\s.:]+', ' ', 'g'))""")
 def harmonise(spark: SparkSession, sf: str) -> DataFrame:
     r = D.scored(spark, sf).withColumn("qa_issues", qa.none()).withColumn("own_seq", F.col("seq")).withColumn("seq", F.col("doc_id") * 100000 + F.col("seq"))
-    h = verify.harmonise(r).where(F.col("harmonised") & ~F.contains("translated_text", F.lit("ß")) & ~F.contains("text", F.lit("ß")))
+    h = verify.harmonise(r).where("harmonised")
     return h.select("doc_id", F.col("own_seq").alias("seq"), F.lower("translated_text").alias("new_text"))
 
 
