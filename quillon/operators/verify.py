@@ -270,3 +270,16 @@ def review_top(results: DataFrame, n: int = 40) -> DataFrame:
     """The n first flagged rows, critical first, then by place: a top-k that needs no full sort."""
     rows = results.where(qa.has_severity(F.col("qa_issues"), qa.CRITICAL, qa.MODERATE)).withColumn("_c", qa.has_severity(F.col("qa_issues"), qa.CRITICAL))
     return rows.orderBy(F.desc("_c"), "location", "doc_id", "seq").limit(n).drop("_c")
+
+
+def review_rest(results: DataFrame, n: int = 40) -> DataFrame:
+    """One row: how many flagged rows `review_top` does not show."""
+    flagged = results.where(qa.has_severity(F.col("qa_issues"), qa.CRITICAL, qa.MODERATE))
+    return flagged.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - n).alias("more"))
+
+
+def outcome(summary: DataFrame, mismatches: DataFrame, stopped: str | None = None, key: str = "doc_id") -> DataFrame:
+    """The summary with what stopped the verifier (null: nothing) and where the output's structure differs from the source's (key, what, source, output)."""
+    told = F.concat("what", F.lit(": "), F.col("source").cast("string"), F.lit(" in the source, "), F.col("output").cast("string"), F.lit(" in the output"))
+    odd = mismatches.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(told)), "; ").alias("structure"))
+    return summary.join(odd, key, "left").withColumn("stopped_by", F.lit(stopped).cast("string"))

@@ -63,15 +63,23 @@ def label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return L.label_pairs(ln)
 
 
-@query(f"""{WITH}{D.BLOCKS}, p AS (SELECT doc_id, page, block_id AS ord, ((block_id // 5) % 3 * 10)::DOUBLE AS lx, 200::DOUBLE AS tx, CASE WHEN block_id % 3 = 0 THEN '1.2' ELSE 'ab' END AS label FROM blocks),
- b AS (SELECT *, CASE WHEN lag(lx) OVER w IS NULL OR abs(lx - lag(lx) OVER w) >= 3 OR abs(tx - lag(tx) OVER w) >= 3 THEN 1 ELSE 0 END AS brk FROM p WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord)),
+@query(f"""{WITH}{D.BLOCKS}, p AS (SELECT doc_id, page, block_id AS ord, CASE WHEN block_id % 7 <> 3 THEN ((block_id // 5) % 3 * 10)::DOUBLE END AS lx, (200 + CASE WHEN block_id % 11 = 5 THEN 9 ELSE 0 END)::DOUBLE AS tx, CASE WHEN block_id % 7 = 3 THEN NULL WHEN block_id % 3 = 0 THEN '1.2' ELSE 'ab' END AS label FROM blocks),
+ b AS (SELECT *, CASE WHEN lag(tx) OVER w IS NULL OR abs(tx - lag(tx) OVER w) >= 3 OR (lx IS NOT NULL AND coalesce(abs(lx - last_value(lx IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) >= 3, true)) THEN 1 ELSE 0 END AS brk FROM p WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord)),
  r AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page ORDER BY ord) AS BIGINT) AS run FROM b)
-SELECT doc_id, page, ord, run FROM r QUALIFY count(*) OVER (PARTITION BY doc_id, page, run) >= 2 OR label = '1.2'""")
+SELECT doc_id, page, ord, run FROM r QUALIFY count(lx) OVER (PARTITION BY doc_id, page, run) >= 2 OR (count(lx) OVER (PARTITION BY doc_id, page, run) = 1 AND bool_or(coalesce(label = '1.2', false)) OVER (PARTITION BY doc_id, page, run))""")
 def label_runs(spark: SparkSession, sf: str) -> DataFrame:
-    p = D.blocks(spark, sf).select("doc_id", "page", F.col("block_id").alias("ord"), F.expr("cast((block_id div 5) % 3 * 10 as double)").alias("label_x"), F.lit(200.0).alias("text_x"), F.when(F.col("block_id") % 3 == 0, "1.2").otherwise("ab").alias("label"))
+    """Every seventh line wraps: it has no label and goes on with its run."""
+    wraps = F.col("block_id") % 7 == 3
+    p = D.blocks(spark, sf).select("doc_id", "page", F.col("block_id").alias("ord"), F.when(~wraps, F.expr("cast((block_id div 5) % 3 * 10 as double)")).alias("label_x"), F.expr("cast(200 + if(block_id % 11 = 5, 9, 0) as double)").alias("text_x"), F.when(wraps, F.lit(None)).when(F.col("block_id") % 3 == 0, "1.2").otherwise("ab").alias("label"))
     return L.label_runs(p).select("doc_id", "page", "ord", "run")
 
 
+@query(f"{WITH}{D.BLOCKS}{D.BOXES}, p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM blocks GROUP BY 1), t AS (SELECT doc_id, count(*) AS tables FROM boxes GROUP BY 1), g AS (SELECT doc_id, count(*) AS pictures FROM boxes WHERE page % 2 = 1 GROUP BY 1) SELECT doc_id, pages, coalesce(tables, 0) AS tables, coalesce(pictures, 0) AS pictures FROM p LEFT JOIN t USING (doc_id) LEFT JOIN g USING (doc_id)")
+def page_structure(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = D.boxes(spark, sf)
+    return L.structure(D.blocks(spark, sf), boxes, boxes.where("page % 2 = 1"))
+
+
 @query(f"""{WITH}{D.BLOCKS}{D.BOXES} SELECT DISTINCT p.doc_id, p.page FROM boxes p JOIN blocks b ON p.doc_id = b.doc_id AND p.page = b.page AND p.x0 < b.x1 AND p.x1 > b.x0 AND p.top < b.bottom AND p.bottom > b.top""")
 def picture_collides(spark: SparkSession, sf: str) -> DataFrame:
     return L.picture_collides(D.boxes(spark, sf), D.blocks(spark, sf)).select("doc_id", "page").distinct()

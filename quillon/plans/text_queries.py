@@ -332,6 +332,19 @@ def review_top40(spark: SparkSession, sf: str) -> DataFrame:
     return verify.review_top(r).select("doc_id", "seq", "location", qa.has_severity(F.col("qa_issues"), qa.CRITICAL).alias("critical"))
 
 
+@query(f"{WITH}{GATE} SELECT greatest(0, count(*) - 40) AS more FROM q WHERE leak + void + unv + low > 0")
+def review_rest(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.review_rest(D.scored(spark, sf).withColumn("qa_issues", _issues()))
+
+
+@query(f"""{WITH}{D.SCORED}, s AS (SELECT doc_id, count(confidence) AS verified FROM scored GROUP BY doc_id)
+SELECT doc_id, verified, CASE WHEN doc_id % 3 = 0 THEN 'paragraphs: 2 in the source, 3 in the output; tables: ' || (doc_id % 7) || ' in the source, 9 in the output' END AS structure, 'fatal: HTTP 402' AS stopped_by FROM s""")
+def doc_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    s = verify.summary(D.scored(spark, sf), ["doc_id"]).select("doc_id", "verified")
+    odd = s.where("doc_id % 3 = 0").select("doc_id", F.explode(F.array(F.struct(F.lit("tables").alias("what"), (F.col("doc_id") % 7).alias("source"), F.lit(9).alias("output")), F.struct(F.lit("paragraphs").alias("what"), F.lit(2).cast("long").alias("source"), F.lit(3).alias("output")))).alias("x")).select("doc_id", "x.*")
+    return verify.outcome(s, odd, "fatal: HTTP 402")
+
+
 @query(f"{WITH}{GATE} SELECT source, CAST(sum(leak + void) AS BIGINT) AS critical, CAST(sum(unv + low) AS BIGINT) AS moderate FROM q GROUP BY source")
 def severity_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda s: F.sum(F.size(F.filter("qa_issues", lambda i: i["severity"] == s))).alias(s)

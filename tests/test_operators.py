@@ -61,6 +61,21 @@ def test_lines_blocks_and_snap(spark):
     assert spark.range(1).select(layout.snap(F.array(*[F.lit(float(x)) for x in (0, 1, 2, 3)])).alias("s")).first()["s"] == [0.0, 2.0]
 
 
+def test_spaced_lines_are_read_with_the_words_of_the_others(spark):
+    rows = [(1, 0, "open the main valve and close the main pump"), (1, 1, "o p e n t h e m a i n v a l v e"), (1, 2, "O p e n t h e m a i n v a l v e"), (1, 3, "c l o s e t h e p u m p n o w"), (2, 0, "no spaced line here")]
+    got = {r["text"]: r["fixed"] for r in layout.rebuild_spaced(spark.createDataFrame(rows, "doc_id long, seq long, text string")).collect()}
+    assert got[rows[1][2]] == "open the main valve" and got[rows[2][2]] in ("open the main valve", "Open the main valve") and got[rows[3][2]].startswith("close the pump ")
+    assert len(got) == 3
+
+
+def test_lines_without_upright_words_and_odd_rows(spark):
+    schema = "doc_id long, page int, x0 double, x1 double, top double, bottom double, upright boolean, size double, text string"
+    rows = [(1, 0, 10.0, 30.0, 5.0, 15.0, False, 10.0, "side"), (2, 0, 10.0, 30.0, 5.0, 15.0, True, 10.0, None), (2, 0, 10.0, 20.0, 5.0, 15.0, True, 10.0, "A."), (2, 0, 60.0, 90.0, 6.0, 15.0, True, 10.0, "title"), (2, 0, 95.0, 120.0, 5.0, 15.0, True, 10.0, "Page"), (2, 0, 10.0, 20.0, 40.0, 50.0, True, 10.0, "➔"), (2, 0, 10.0, 20.0, 40.0, 50.0, True, 10.0, "➔")]
+    got = [(r["doc_id"], r["text"], r["marker"]) for r in layout.assemble_lines(spark.createDataFrame(rows, schema)).orderBy("line_id").collect()]
+    assert got == [(2, "title", "A."), (2, "Page", None), (2, "➔", "➔")]
+    assert layout.assemble_blocks(layout.assemble_lines(spark.createDataFrame([], schema))).count() == 0
+
+
 def word_file(body: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
