@@ -43,6 +43,15 @@ def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
     return readers.ocr_stub(readers.scanned_pages(w.where("seq % 12 < 1 and i < 2"), pages).withColumn("error", F.lit("no reader"))).select("doc_id", "page", "text")
 
 
+@query(f"{WITH}{D.WORDS} SELECT doc_id, page, text, x0, x1, top, bottom, upright FROM words")
+def geometry_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of pages from JSON lines, one of which is broken."""
+    path = _folder(spark)
+    lines = D.words(spark, sf).select(F.to_json(F.struct("doc_id", "page", "text", "x0", "x1", "top", "bottom", "upright", "size", F.lit(1).alias("odd"))).alias("value"))
+    lines.unionByName(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
+    return readers.geometry(spark, path, "words").select("doc_id", "page", "text", "x0", "x1", "top", "bottom", "upright")
+
+
 @query(f"""{WITH}{D.BLOCKS}, s AS (SELECT doc_id, page, block_id AS sid, x0 + 2 AS x0, x1 - 2 AS x1, top, bottom, 8 + block_id % 3 AS size, block_id % 2 = 0 AS bold, length(text) AS n FROM blocks WHERE block_id % 4 <> 3),
  j AS (SELECT b.doc_id, b.page, b.block_id, arg_max(s.size, (s.n, s.size)) AS size, arg_max(s.bold, (s.n, s.size)) AS bold FROM blocks b JOIN s ON b.doc_id = s.doc_id AND b.page = s.page AND (s.x0 + s.x1) / 2 BETWEEN b.x0 AND b.x1 AND (s.top + s.bottom) / 2 BETWEEN b.top AND b.bottom GROUP BY ALL)
 SELECT b.doc_id, b.page, b.block_id, coalesce(j.size, 10)::DOUBLE AS size, coalesce(j.bold, false) AS bold FROM blocks b LEFT JOIN j USING (doc_id, page, block_id)""")

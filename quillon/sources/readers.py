@@ -122,6 +122,20 @@ def scanned_pages(words: DataFrame, pages: DataFrame, least: int = 10) -> DataFr
     return pages.join(n, ["doc_id", "page"], "left").where(F.coalesce("n", F.lit(0)) < least).drop("n")
 
 
+_BOX = "doc_id long, page int, x0 double, x1 double, top double, bottom double"
+#: What is on a page, as a tool that reads PDF geometry exports it: one JSON object a line for each word, glyph, cell, rule, span or picture.
+GEOMETRY = {
+    "words": f"{_BOX}, text string, upright boolean, size double", "chars": f"{_BOX}, seq long, text string, upright boolean, up boolean",
+    "cells": f"{_BOX}, table_id int, row int, col int, text string", "edges": f"{_BOX}, edge_id long, orientation string, linewidth double",
+    "spans": f"{_BOX}, text string, size double, bold boolean, family string", "images": f"{_BOX}, image_id long", "pages": "doc_id long, page int, width double, height double",
+}
+
+
+def geometry(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The geometry table of a kind; lines that are no JSON are dropped, unknown fields ignored."""
+    return spark.read.schema(GEOMETRY[kind]).option("mode", "DROPMALFORMED").json(path)
+
+
 def page_segments(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """Segments of laid-out pages: table cells first, row by row, then blocks; blank ones dropped, texts stripped; seq is that order."""
     from pyspark.sql import Window
