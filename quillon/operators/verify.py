@@ -54,7 +54,9 @@ def score(value: Column) -> Column:
 
 
 def confidence(scores: dict[str, Column], stated: Column) -> Column:
-    mean = sum((F.lit(w) * scores[d] for d, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["meaning"]) * scores["meaning"])
+    """The weighted mean, no higher than what was stated and little above the weakest score; half-even. Hundredths are summed as whole numbers: a sum of doubles misses ties."""
+    first, *others = [F.lit(round(100 * w)) * scores[d] for d, w in WEIGHTS.items()]
+    mean = sum(others, first) / 100
     weakest = F.least(*scores.values()) + OVER_WEAKEST
     return F.bround(F.least(mean, F.coalesce(stated.cast("double"), mean), weakest.cast("double"))).cast("int")
 

@@ -52,6 +52,11 @@ def test_replies(spark):
     assert [(r["batch_id"], r["item"], r["meaning"], r["confidence"], r["verdict"]) for r in got] == [(1, 1, 90, 96, "ok")]
 
 
+def test_confidence_of_an_exact_tie_is_half_even(spark):
+    raw = '{"results":[{"id":1,"meaning":41,"completeness":51,"terminology":61,"grammar":71}]}'
+    assert verify.parse_replies(spark.createDataFrame([(1, 1, raw)], "batch_id long, n_items int, raw string")).first()["confidence"] == 52
+
+
 def test_lines_blocks_and_snap(spark):
     w = [(1, 0, "Big", 10.0, 30.0), (1, 0, "pump", 34.0, 60.0)]
     words = spark.createDataFrame([(d, p, x0, x1, 5.0, 15.0, True, 10.0, t) for d, p, t, x0, x1 in w] + [(1, 0, 10.0, 25.0, 30.0, 40.0, True, 10.0, "•one")], "doc_id long, page int, x0 double, x1 double, top double, bottom double, upright boolean, size double, text string")
