@@ -110,12 +110,15 @@ def canonical(segments: DataFrame, key_col: str, text_col: str = "text", order_c
     return segments.groupBy(key_col).agg(F.min_by(text_col, rank).alias("canon"))
 
 
-def ordered_distinct(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """key, place: distinct keys numbered from 0 in order of their first place. Parts number themselves; a row for each part carries the sums of those before."""
-    firsts = df.groupBy(key).agg(F.min(pos).alias("_p"))
-    ranged = firsts.repartitionByRange("_p").sortWithinPartitions("_p").withColumn("_part", F.spark_partition_id())
-    own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy("_p")))
-    sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+def ordered_distinct(df: DataFrame, key: str, pos: str, parts: int = 200) -> DataFrame:
+    """key, place: distinct keys numbered from 0 in order of their first place (a number). Parts number themselves; a row for each part carries the sums of those before.
+
+    Parts are ranges of the place, cut at bounds that are read once: the partition in which a row lies may differ between two readings of one plan."""
+    bounds = sorted(set(df.agg(F.percentile_approx(pos, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("_p"))) if bounds else F.lit(0)
+    firsts = df.groupBy(key).agg(F.min(pos).alias("_p")).withColumn("_part", part)
+    own = firsts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy("_p")))
+    sizes = firsts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     return own.join(before, "_part").select(key, (F.col("_b") + F.col("_r") - 1).alias("place"))
 

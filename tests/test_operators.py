@@ -52,6 +52,18 @@ def test_replies(spark):
     assert [(r["batch_id"], r["item"], r["meaning"], r["confidence"], r["verdict"]) for r in got] == [(1, 1, 90, 96, "ok")]
 
 
+def test_places_hold_when_a_plan_is_read_in_other_partitions(spark):
+    rows = spark.range(0, 6000, 1, 6).select(F.concat(*[F.sha2(F.concat(F.lit(f"{i} "), ((F.col("id") * 7) % 2000).cast("string")), 512) for i in range(8)]).alias("k"), (F.col("id") * 3).alias("pos"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64k")
+    try:
+        got = {r["k"]: r["place"] for r in memory.ordered_distinct(rows, "k", "pos").collect()}
+    finally:
+        spark.conf.unset(size)
+    assert [got[r["k"]] for r in rows.where("pos < 6000").orderBy("pos").collect()] == list(range(2000))
+    assert memory.ordered_distinct(rows.limit(0), "k", "pos").count() == 0
+
+
 def test_confidence_of_an_exact_tie_is_half_even(spark):
     raw = '{"results":[{"id":1,"meaning":41,"completeness":51,"terminology":61,"grammar":71}]}'
     assert verify.parse_replies(spark.createDataFrame([(1, 1, raw)], "batch_id long, n_items int, raw string")).first()["confidence"] == 52
