@@ -4,13 +4,11 @@ No side is broadcast by hand: dimensions are reduced to a row for each key first
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import qa
+from quillon.functions import fuzzy, qa
 from quillon.functions import text as T
 
 
@@ -79,24 +77,29 @@ def terms_for(hits: DataFrame, keys: list[str]) -> DataFrame:
 def tm_fuzzy(texts: DataFrame, tm: DataFrame, threshold: float = 0.85, top: int = 3, text_col: str = "text") -> DataFrame:
     """text, rank, ratio, pos, source_text, target_text: approved entries whose difflib ratio to the text is high enough, best first.
 
-    The ratio is at most 2*min/(la+lb), so only texts of like length meet: lengths are cut into steps of that bound and
-    each text looks into its own step and both neighbours."""
-    step = F.log(F.lit((2 - threshold) / threshold))
-    bucket = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / step).cast("int")
-    own = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct().withColumn("n", F.length("text"))
-    own = own.withColumn("b", F.explode(F.array(bucket(F.col("n")) - 1, bucket(F.col("n")), bucket(F.col("n")) + 1)))
-    ref = tm.where(F.col("status") == "approved").select("pos", "source_text", "target_text", F.length("source_text").alias("m"), bucket(F.length("source_text")).alias("b"))
-    pairs = own.join(ref, "b").where(2.0 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m")))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, match = [], difflib.SequenceMatcher(None)
-        for x, y in zip(a, b, strict=True):
-            match.set_seqs(x.lower(), y.lower())
-            out.append(match.ratio() if match.quick_ratio() >= threshold else 0.0)
-        return pd.Series(out, dtype=float)
-
-    scored = pairs.withColumn("ratio", ratio("text", "source_text")).where(F.col("ratio") >= threshold)
+    The ratio is at most 2*min/(la+lb), so only texts of like length meet: lengths are cut into steps of that bound, a text lies in its own step
+    and an entry in its own and both neighbours. Texts are dealt into shares of a step and entries into blocks, so no group holds them all;
+    in a group `fuzzy.above` compares all pairs by bounds that lose none, and difflib what is left."""
+    reach = (2 - threshold) / threshold
+    bucket = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(reach))).cast("int")
+    size = lambda c: F.length(F.lower(c))
+    ref = tm.where((F.col("status") == "approved") & F.col("source_text").isNotNull()).select("pos", "source_text", "target_text", size("source_text").alias("_m"))
+    m = ref.agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("lo"), F.max("_m").alias("hi")).first()
+    blocks = max(1, -(-m["n"] // 5000))
+    like = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull() & size("text").between(int((m["lo"] or 0) / reach) - 1, int((m["hi"] or 0) * reach) + 1))
+    shares = max(1, -(-like.count() // 50_000))
+    own = like.distinct().select("text", bucket(size("text")).alias("_s"), F.pmod(F.xxhash64("text"), F.lit(shares)).cast("int").alias("_share"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    step = bucket(F.col("_m"))
+    near = ref.withColumn("_s", F.explode(F.array(step - 1, step, step + 1))).withColumn("_block", F.pmod(F.xxhash64("source_text", "pos"), F.lit(blocks)).cast("int"))
+    near = near.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select("pos", "source_text", "target_text", "_s", "_share", "_block")
+
+    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = fuzzy.above([x.lower() for x in a["text"]], [y.lower() for y in b["source_text"]], threshold)
+        i, j = [f[0] for f in found], [f[1] for f in found]
+        return pd.DataFrame({"text": a["text"].to_numpy()[i], "ratio": [f[2] for f in found], "pos": b["pos"].to_numpy()[j], "source_text": b["source_text"].to_numpy()[j], "target_text": b["target_text"].to_numpy()[j]})
+
+    keys = ("_s", "_share", "_block")
+    scored = own.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(compare, "text string, ratio double, pos long, source_text string, target_text string")
     w = Window.partitionBy("text").orderBy(F.desc("ratio"), "pos")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("text", "rank", "ratio", "pos", "source_text", "target_text")
 

@@ -35,6 +35,17 @@ def test_fuzzy_is_difflib(spark):
     assert [r["source_text"] for r in got] == sorted(["the main valve", "the main valves"], key=lambda s: -SequenceMatcher(None, "the main valve!", s).ratio())
 
 
+def test_fuzzy_bounds_lose_no_pair():
+    from difflib import SequenceMatcher
+
+    from quillon.functions import fuzzy
+
+    right = ["", "a", "阀门 one two", "the main valve of the pump " * 3, "abcdefgh" * 16, "xyz " * 80]
+    left = [r[k:] + add for r in right for k in (0, 1, 7) for add in ("", "q", "门 two")] + ["İstanbul".lower(), "\ud800"]
+    want = {(i, j, r) for i, a in enumerate(left) for j, b in enumerate(right) if (r := SequenceMatcher(None, a, b).ratio()) >= 0.85}
+    assert sorted(fuzzy.above(left, right, 0.85)) == sorted(want) and len(want) > 10
+
+
 def test_cache_pending_and_merge(spark):
     bad = [("numeric_mismatch", "critical", "")]
     cache = spark.createDataFrame([("m", "a", "1", []), ("m", "b", "0", []), ("m", "c", "1", bad)], f"model string, text string, sig string, qa_issues {qa.ISSUES}")
