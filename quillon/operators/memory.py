@@ -1,6 +1,6 @@
 """Approved memory, glossary and result cache: the lookups that decide what needs a model call.
 
-No side is broadcast by hand: dimensions are reduced to a row for each key first, and Catalyst picks the join by their size."""
+No side is broadcast by hand, but for a glossary that has been counted and is small: dimensions are reduced to a row for each key first, and Catalyst picks the join by their size."""
 
 from __future__ import annotations
 
@@ -38,25 +38,54 @@ def glossary_exact(segments: DataFrame, glossary: DataFrame, text_col: str = "te
 
 def _term_pattern(term: Column) -> Column:
     plural = F.when(F.substring(term, -1, 1).rlike(r"\p{L}"), F.lit("(?:s|es)?")).otherwise(F.lit(""))
-    return F.concat(F.lit(r"(?iuU)(?<!\w)"), T.escaped(term), plural, F.lit(r"(?!\w)"))
+    # The first sign is looked for before what stands in front of it: most places fail there, and cheaply.
+    return F.concat(F.lit("(?iuU)(?="), T.escaped(F.left(term, F.lit(1))), F.lit(r")(?<!\w)"), T.escaped(term), plural, F.lit(r"(?!\w)"))
 
 
-def glossary_hits(segments: DataFrame, glossary: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, pos, en_term, target_term, s, e: the first whole-word occurrence of each term in each text (s from 0, e exclusive).
+#: Up to so many terms a glossary goes to every task; a larger one meets words of texts that travel without their texts.
+SMALL_GLOSSARY = 2_000
 
-    An inverted index on the first word of a term turns the regex join into an equi join; only its pairs are matched.
-    A word that may be a plural is looked up without its ending as well; a term without any word is found by its first sign."""
+
+def _first_hits(segments: DataFrame, glossary: DataFrame, keys: list[str], text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """glossary_hits with further columns of the segments; a hit may come more than once."""
     hay = F.replace(F.regexp_replace(F.col(text_col), r"(?U)\s+", " "), F.lit(" & "), F.lit(" and "))
-    seg = segments.select(*keys, hay.alias("_hay"), T.key_loose(hay).alias("_whole"))
+    seg = segments.select(*keys, *keep, hay.alias("_hay"))
     words = F.regexp_extract_all(F.lower("_hay"), F.lit(r"(?U)\w+"), F.lit(0))
     signs = F.regexp_extract_all("_hay", F.lit(r"(?U)[^\w\s]"), F.lit(0))
-    forms = F.array_distinct(F.concat(signs, words, F.transform(words, lambda w: F.regexp_replace(w, "s$", "")), F.transform(words, lambda w: F.regexp_replace(w, "es$", ""))))
+    spread = lambda ws: F.concat(ws, F.transform(ws, lambda w: F.regexp_replace(w, "s$", "")), F.transform(ws, lambda w: F.regexp_replace(w, "es$", "")))
     term = F.replace(F.col("en_term"), F.lit(" & "), F.lit(" and "))
-    gl = glossary.select("pos", "en_term", "target_term", "exact_only", term.alias("_term"), T.key_loose(F.col("en_term")).alias("_k"), F.coalesce(F.nullif(F.regexp_extract(F.lower(term), r"(?U)(\w+)", 1), F.lit("")), F.left(F.trim(term), F.lit(1))).alias("_w"))
-    pairs = seg.withColumn("_w", F.explode(forms)).join(gl, "_w").where(~F.coalesce("exact_only", F.lit(False)) | (F.col("_k") == F.col("_whole")))
+    word = F.nullif(F.regexp_extract(F.lower(term), r"(?U)(\w+)", 1), F.lit(""))
+    gl = glossary.select("pos", "en_term", "target_term", "exact_only", term.alias("_term"), T.key_loose(F.col("en_term")).alias("_k"), F.coalesce(word, F.left(F.trim(term), F.lit(1))).alias("_w"), word.isNull().alias("_sign"))
+    first = gl.select("_w", "_sign").take(SMALL_GLOSSARY + 1)
+    if len(first) <= SMALL_GLOSSARY:
+        # Words that begin no term go at once, so few are told apart and looked up.
+        begin = {r["_w"] + end for r in first if r["_w"] is not None for end in ("", "s", "es")}
+        forms = spread(F.filter(words, lambda w: w.isin(sorted(begin))))
+        forms = F.concat(signs, forms) if any(r["_sign"] for r in first) else forms
+        pairs = seg.withColumn("_w", F.explode(F.array_distinct(forms))).join(F.broadcast(gl), "_w")
+    else:
+        # Words are told apart as hashes: telling strings apart takes the square of their number. What hashes bring in vain the patterns drop.
+        digests = F.array_distinct(F.transform(F.concat(signs, spread(words)), lambda w: F.xxhash64(w)))
+        found = seg.select(*keys, F.explode(digests).alias("_d")).join(gl.withColumn("_d", F.xxhash64("_w")), "_d").drop("_d").distinct()
+        pairs = seg.join(found, keys)
+    pairs = pairs.where(~F.coalesce("exact_only", F.lit(False)) | (F.col("_k") == T.key_loose(F.col("_hay"))))
     found = pairs.withColumn("s", F.regexp_instr("_hay", _term_pattern(F.col("_term"))) - 1).where(F.col("s") >= 0)
     span = F.length(F.regexp_substr("_hay", _term_pattern(F.col("_term"))))
-    return found.select(*keys, "pos", "en_term", "target_term", "s", (F.col("s") + span).alias("e")).distinct()
+    return found.select(*keys, *keep, "pos", "en_term", "target_term", "s", (F.col("s") + span).alias("e"))
+
+
+def glossary_hits(segments: DataFrame, glossary: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, pos, en_term, target_term, s, e: the first whole-word occurrence of each term in each text (s from 0, e exclusive).
+
+    An inverted index on the first word of a term turns the regex join into an equi join; only its pairs are matched.
+    A word that may be a plural is looked up without its ending as well; a term without any word is found by its first sign."""
+    return _first_hits(segments, glossary, keys, text_col, ()).distinct()
+
+
+def terms_absent(pairs: DataFrame, glossary: DataFrame, keys: list[str], text_col: str = "text", target_col: str = "target") -> DataFrame:
+    """keys, pos, en_term: terms of the text that its translation lacks, judged where the text is read, so translations don't travel."""
+    hits = _first_hits(pairs, glossary, keys, text_col, (target_col,))
+    return hits.where(~T.term_present(F.col("target_term"), F.col(target_col))).select(*keys, "pos", "en_term").distinct()
 
 
 def maximal_spans(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,6 +27,19 @@ def test_glossary_plural_and_maximal(spark):
     assert {(r["id"], r["en_term"]) for r in memory.maximal_spans(hits, ["id"]).collect()} == {(1, "feed pump"), (3, "Date")}
 
 
+def test_glossary_hits_small_and_large_and_no_text_travels(spark, monkeypatch):
+    terms = [("pump", False), ("feed pump", False), ("Date", True), ("&x", False), ("pass", False)]
+    gl = spark.createDataFrame([(i, t, t.upper(), x) for i, (t, x) in enumerate(terms)], "pos long, en_term string, target_term string, exact_only boolean")
+    seg = spark.createDataFrame([(1, "Two feed\npumps by Date, pump pump", "PUMP"), (2, "pumping &x", "&X"), (3, "date:", "нет"), (4, "PASSES", "нет")], "id int, text string, target string")
+    rows = lambda d: {tuple(r) for r in d.collect()}
+    plan = memory.glossary_hits(seg, gl, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    hits, absent = rows(memory.glossary_hits(seg, gl, ["id"])), rows(memory.terms_absent(seg, gl, ["id"]).select("id", "en_term"))
+    assert {(h[0], h[2]) for h in hits} == {(1, "pump"), (1, "feed pump"), (2, "&x"), (3, "Date"), (4, "pass")} and absent == {(1, "feed pump"), (3, "Date"), (4, "pass")}
+    monkeypatch.setattr(memory, "SMALL_GLOSSARY", 0)
+    assert rows(memory.glossary_hits(seg, gl, ["id"])) == hits and rows(memory.terms_absent(seg, gl, ["id"]).select("id", "en_term")) == absent
+
+
 def test_fuzzy_is_difflib(spark):
     from difflib import SequenceMatcher
 
