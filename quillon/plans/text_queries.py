@@ -179,9 +179,7 @@ def length_outliers(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, seq, en_term FROM w WHERE len(list_filter(stems, lambda s: NOT contains(hay, s))) > 0""")
 def term_presence(spark: SparkSession, sf: str) -> DataFrame:
     """Glossary terms of the source that the translation lacks."""
-    p = D.pairs(spark, sf)
-    h = memory.glossary_hits(p, D.glossary(spark), ["doc_id", "seq"])
-    return h.join(p.select("doc_id", "seq", "target"), ["doc_id", "seq"]).where(~T.term_present(F.col("target_term"), F.col("target"))).select("doc_id", "seq", "en_term")
+    return memory.terms_absent(D.pairs(spark, sf), D.glossary(spark), ["doc_id", "seq"]).select("doc_id", "seq", "en_term")
 
 
 CACHE_SQL = f"{WITH}{D.SEG}, want AS (SELECT DISTINCT 'm' AS model, text, length(text) % 5 AS sig FROM seg), cache AS (SELECT 'm' AS model, text, CASE WHEN length(text) % 3 = 0 THEN 9 ELSE length(text) % 5 END AS sig, length(text) % 7 = 0 AS blocked FROM (SELECT DISTINCT text FROM seg WHERE doc_id % 2 = 0))"
