@@ -47,8 +47,9 @@ def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
 def geometry_files(spark: SparkSession, sf: str) -> DataFrame:
     """Words of pages from JSON lines, one of which is broken."""
     path = _folder(spark)
-    lines = D.words(spark, sf).select(F.to_json(F.struct("doc_id", "page", "text", "x0", "x1", "top", "bottom", "upright", "size", F.lit(1).alias("odd"))).alias("value"))
-    lines.unionByName(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
+    lines = D.words(spark, sf).select(F.to_json(F.struct("doc_id", "page", "top", "bottom", "upright", "size", F.lit(1).alias("odd"), "x0", "x1", "text")).alias("value"))
+    # What seldom changes stands first, so that compression meets it as one stretch.
+    lines.unionByName(spark.createDataFrame([("{broken",)], "value string")).write.text(path, compression="gzip")
     return readers.geometry(spark, path, "words").select("doc_id", "page", "text", "x0", "x1", "top", "bottom", "upright")
 
 
