@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,19 +225,19 @@ def call_log(spark: SparkSession, sf: str) -> DataFrame:
 def word_files(spark: SparkSession, sf: str) -> DataFrame:
     """path, content: each document as a Word file, a paragraph for each line: its first word bold, the rest plain, what was deleted and a field besides; each third line in a table."""
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": [str(key[0])], "content": [_word_file(pdf.sort_values("seq")[["seq", "text"]].itertuples(index=False))]})
+    def build(batches):
+        for path, seqs, texts in docx.rows_of(batches):
+            yield str(path), _word_file(zip(seqs, texts, strict=True))
 
-    return D.segments(spark, sf).select("doc_id", "seq", "text").groupBy("doc_id").applyInPandas(build, "path string, content binary")
+    lines = D.segments(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("line")).select("doc_id", "line.seq", "line.text")
+    return lines.mapInArrow(lambda batches: docx.frames(build(batches), docx.FILE, "content"), "path string, content binary")
 
 
-def _word_file(lines) -> bytes:
-    import io
-    import re
-    import zipfile
-    from xml.sax.saxutils import escape
+NOT_XML = re.compile("[^\t -퟿-�\U00010000-\U0010ffff]")
+
 
-    t = lambda s: f'<w:t xml:space="preserve">{escape(re.sub("[^\t -퟿-�\U00010000-\U0010ffff]", "", s))}</w:t>'
+def _word_file(lines) -> bytes:
+    t = lambda s: f'<w:t xml:space="preserve">{escape(NOT_XML.sub("", s))}</w:t>'
     body = []
     for seq, text in lines:
         head, blank, rest = text.partition(" ")
@@ -258,7 +261,7 @@ def word_units(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{WITH}{UNITS} SELECT doc_id, 'X ' || text AS text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS BIGINT) AS seq FROM u")
 def word_rewritten(spark: SparkSession, sf: str) -> DataFrame:
     """Every unit replaced, the file written, and read again."""
-    files = word_files(spark, sf)
+    files = word_files(spark, sf).repartition("path")  # built once: both uses read this exchange
     units = docx.read_docx(files)
     out = docx.write_docx(files, units.select("doc_id", "location", F.regexp_replace("text", "^(⟦1⟧)?", "$1X ").alias("translated_text"), F.lit(True).alias("flagged")))
     plain = F.regexp_replace("text", "^⟦1⟧X ", "X ⟦1⟧")

@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from xml.etree import ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,45 @@ def test_word_walk_cuts_at_fields_and_links_and_names_cells():
     assert docx.extract(lost)[0][1] == "⟦1⟧all ⟦2⟧kept"
 
 
+def test_word_files_are_handled_many_at_a_time_and_meet_their_own_results(spark):
+    raw, other = word_file(BODY), word_file("<w:p><w:r><w:t>Other</w:t></w:r></w:p>")
+    files = spark.createDataFrame([(f"{i}.docx", bytearray(raw if i % 2 else other)) for i in range(600)] + [("0.docx", bytearray(raw)), ("alone.docx", bytearray(raw))], "path string, content binary")
+    seg = docx.read_docx(files)
+    assert seg.count() == 300 * 3 + 300 + 2 * 3
+    found = seg.where("doc_id <> 'alone.docx'").select("doc_id", "location", F.concat("doc_id", F.lit(" "), "location").alias("translated_text"), (F.col("seq") == 0).alias("flagged")).distinct()
+    found = found.unionByName(spark.createDataFrame([("none.docx", "document/p0", "lost", True)], found.schema))
+    out = docx.write_docx(files, found)
+    # A call of Python for each file (FlatMapGroupsInPandas) took 2 ms and more besides the file's own work.
+    assert "InPandas" not in out._jdf.queryExecution().toString() + seg._jdf.queryExecution().toString()
+    rows = [(r["path"], bytes(r["content"])) for r in out.collect()]
+    assert len(rows) == 602 and len({p for p, _ in rows}) == 601
+    for path, content in rows:
+        got = docx.extract(content)
+        assert [t for _, t, _, _ in got] == ([t for _, t, _, _ in docx.extract(raw)] if path == "alone.docx" else [f"{path} {loc}" for *_, loc in got])
+
+
+def test_frames_of_word_rows_are_bounded_and_whole():
+    rows = [(str(i), bytes(1 << 20 if i % 1000 == 0 else 3)) for i in range(10000)]
+    got = list(docx.frames(rows, docx.FILE, "content"))
+    assert list(docx.rows_of(got)) == rows and max(b.num_rows for b in got) <= docx.FRAME_ROWS and max(b.nbytes for b in got) < 2 * docx.FRAME_SIZE
+    assert list(docx.frames([], docx.FILE, "content")) == []
+
+
+def test_xml_is_what_elementtree_writes():
+    for source in (BODY, FIELDS, '<w:p xmlns:q="urn:q" q:b="1" a="&lt;&quot;&#10;&#9;&#13;&amp;&gt;" xml:space="preserve"> x &amp; <q:y xmlns:r="urn:r" r:z=""/>tail &gt;<w:t></w:t></w:p>'):
+        root = ET.fromstring(f'<w:document xmlns:w="{docx.W}" xmlns:mc="{docx.MC}">{source}</w:document>')
+        assert docx.xml(root) == ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
+def test_word_rewritten_as_its_sql_on_odd_lines(spark, tmp_path):
+    from quillon.plans import page_queries
+
+    spark.createDataFrame([(1, "One two\n\n 12\nthree <&> \f", "s", "en"), (2, None, "s", "en"), (3, "\n \u2028x y", "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = page_queries.word_rewritten(spark, str(tmp_path))
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "X ⟦1⟧One ⟦2⟧two", 0), (1, "X ⟦1⟧three ⟦2⟧<&>", 1), (3, "X ⟦1⟧\u2028x ⟦2⟧y", 0)]
+
+
 def test_paths_and_saved_state(spark, tmp_path):
     from quillon.sources import sinks
 
